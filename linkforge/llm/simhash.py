@@ -30,6 +30,8 @@ GENERATOR = 0b101011100011
 #: First bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
+#: Distinct fingerprints from which keys are long.
+LONG_FROM = 4_000_000
 
 
 def fingerprint(text: bytes | None, width: int = SHINGLE, seed: int = SEED) -> int:
@@ -106,28 +108,50 @@ def near_codewords(words: np.ndarray) -> np.ndarray:
     return np.where(errors < 0, -1, (words[:, None] ^ errors) >> 11)
 
 
-def keys(fps: np.ndarray, probe: bool) -> tuple[np.ndarray, np.ndarray]:
-    """(row, key) of the keys under which fingerprints are filed, or (probe) under which they look."""
-    parts = [(fps >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64) for at, width in SEGMENTS]
-    rows, found = [np.arange(len(fps))] * 3, [t << 48 | x for t, x in enumerate(parts)]
+def pieces(at: int, width: int, n: int) -> list[tuple[int, int]]:
+    """n runs of bits, as even as can be."""
+    cuts = [at + width * i // n for i in range(n + 1)]
+    return [(x, y - x) for x, y in zip(cuts, cuts[1:], strict=False)]
+
+
+def bits_of(fps: np.ndarray, at: int, width: int) -> np.ndarray:
+    return (fps >> np.uint64(at) & np.uint64((1 << width) - 1)).astype(np.int64)
+
+
+def keys(fps: np.ndarray, probe: bool, long: bool) -> tuple[np.ndarray, np.ndarray]:
+    """(row, key) of the keys under which fingerprints are filed, or (probe) under which they look.
+
+    Short keys have 21 to 24 bits. Long keys have 7 to 9 more, for large tables: at an equal segment one of five runs of the
+    other bits is equal too (4 errors), at two segments of one error one of three runs of the third segment (2 errors).
+    """
+    rows, found = [], []
+
+    def add(tag: int, at: np.ndarray, key: np.ndarray, runs: list[tuple[int, int]]) -> None:
+        for k, (first, width) in enumerate(runs if long else [(0, 0)]):
+            rows.append(at)
+            found.append((np.int64(tag) << 58) | key << 18 | k << 14 | bits_of(fps[at], first, width))
+
+    parts = [bits_of(fps, *x) for x in SEGMENTS]
+    for t, x in enumerate(parts):
+        others = [s for i, s in enumerate(SEGMENTS) if i != t]
+        add(t, np.arange(len(fps)), x, pieces(*others[0], 2) + pieces(*others[1], 3))
     near = [near_codewords(x) for x in parts]
     for t, (a, b) in enumerate(PAIRS, 3):
         for i in range(6 if probe else 1):
             for j in range(6 if probe else 1):
                 at = np.flatnonzero((near[a][:, i] >= 0) & (near[b][:, j] >= 0))
-                rows.append(at)
-                found.append(t << 48 | near[a][at, i] << 12 | near[b][at, j])
+                add(t, at, near[a][at, i] << 12 | near[b][at, j], pieces(*SEGMENTS[3 - a - b], 3))
     return np.concatenate(rows), np.concatenate(found)
 
 
-def keyed(df: DataFrame, probe: bool) -> DataFrame:
+def keyed(df: DataFrame, probe: bool, long: bool) -> DataFrame:
     """A row (key, and all columns of df) for every key of df's column fp."""
 
     def run(batches):
         for batch in batches:
-            for at in range(0, batch.num_rows, 2048):
-                part = batch.slice(at, 2048)
-                rows, key = keys(part.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), probe)
+            for at in range(0, batch.num_rows, 1024):
+                part = batch.slice(at, 1024)
+                rows, key = keys(part.column("fp").to_numpy(zero_copy_only=False).view(np.uint64), probe, long)
                 yield pa.RecordBatch.from_arrays([pa.array(key), *(c.take(pa.array(rows)) for c in part.columns)], ["key", *part.schema.names])
 
     return df.mapInArrow(run, "key long, " + ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in df.schema))
@@ -164,25 +188,34 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     return out
 
 
-def linked(nodes: DataFrame, scratch: Scratch) -> DataFrame:
-    """(fp, comp) of distinct fingerprints nodes (fp, n): connected components of the links at MAX_BITS or fewer bits."""
-    filed = scratch.keep(keyed(nodes, probe=False), "filed")
+def linked(nodes: DataFrame, scratch: Scratch, long: bool | None = None) -> DataFrame:
+    """(fp, comp) of distinct fingerprints nodes (fp, n): connected components of the links at MAX_BITS or fewer bits.
+
+    long: whether keys are long; by default at LONG_FROM fingerprints or more. The links found are the same.
+    """
+    if long is None:
+        long = nodes.count() >= LONG_FROM
+    filed = scratch.keep(keyed(nodes, False, long), "filed")
     hubs = filed.groupBy("key").agg(F.max(F.struct("n", "fp")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", F.col("hub.fp").alias("hub"))
     stars = filed.join(hubs, "key").where((F.col("fp") != F.col("hub")) & near(F.col("fp"), F.col("hub"))).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     first = components(stars, scratch)
-    label = lambda df: df.join(first.select(F.col("v").alias("fp"), "c"), "fp", "left").select(*(x for x in df.columns if x != "c"), F.coalesce("c", "fp").alias("comp"))
+    label = lambda df: df.join(first.select(F.col("v").alias("fp"), "c"), "fp", "left").select(*df.columns, F.coalesce("c", "fp").alias("comp"))
     flat = scratch.keep(label(nodes.select("fp")), "flat")
-    filed2 = scratch.keep(label(filed.select("key", "fp")), "filed")
+    comped = scratch.keep(label(filed.select("key", "fp")), "filed")
     scratch.drop(filed)
-    # The component with most members of a key is the key's main one; pairs within a component are never visited.
-    main = filed2.groupBy("key", "comp").agg(F.count("*").alias("m")).groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps")).select("key", F.col("top.comp").alias("main"), "comps")
-    looks = keyed(flat, probe=True).join(main, "key").where("comp <> main or comps > 1")
-    looks = scratch.keep(looks.select("key", F.col("fp").alias("x"), F.col("comp").alias("cx"), F.explode(F.when(F.col("comp") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))).alias("in_main")), "looks")
-    held = filed2.join(main, "key").select("key", F.col("fp").alias("y"), F.col("comp").alias("cy"), (F.col("comp") == F.col("main")).alias("in_main"))
+    # The component with most members of a key is the key's main one; pairs within a component are never visited,
+    # and a key with one member is verified on sight.
+    by_comp = comped.groupBy("key", "comp").agg(F.count("*").alias("m"), F.max("fp").alias("one"))
+    main = by_comp.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("m").alias("members"), F.max("one").alias("one"))
+    main = main.select("key", F.col("top.comp").alias("main"), "comps", "members", "one")
+    looks = keyed(flat, True, long).join(main, "key").where((F.expr("comp <> main or comps > 1")) & ((F.col("members") > 1) | near(F.col("fp"), F.col("one"))))
+    sides = F.when(F.col("comp") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
+    looks = scratch.keep(looks.select("key", F.col("fp").alias("x"), F.col("comp").alias("cx"), F.explode(sides).alias("in_main")), "looks")
+    held = comped.join(main, "key").select("key", F.col("fp").alias("y"), F.col("comp").alias("cy"), (F.col("comp") == F.col("main")).alias("in_main"))
     rest = looks.join(held, ["key", "in_main"]).where((F.col("cx") != F.col("cy")) & near(F.col("x"), F.col("y"))).select(F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b"))
     second = components(rest, scratch)
     scratch.drop(looks)
-    scratch.drop(filed2)
+    scratch.drop(comped)
     return scratch.keep(flat.join(second.select(F.col("v").alias("comp"), "c"), "comp", "left").select("fp", F.coalesce("c", "comp").alias("comp")), "linked")
 
 
