@@ -93,7 +93,9 @@ def quality_report(df: DataFrame) -> DataFrame:
 def keep_good(df: DataFrame, text_col: str = "text") -> DataFrame:
     """The rows of df that are kept, with all its columns, texts unchanged."""
     judged = judge(df.select(F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row")))
-    return judged.where("quality.kept").select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns))
+    # A filter isn't pushed below a projection with a partition id; pushed, it would compute the arrays once per use.
+    judged = judged.select("row", "quality.kept", F.spark_partition_id().alias("at"))
+    return judged.where("kept and at >= 0").select(*(F.col(f"row.`{c}`").alias(c) for c in df.columns))
 
 
 ORACLE_SQL = r"""
