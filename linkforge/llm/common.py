@@ -1,57 +1,22 @@
-"""What the operators share: the shared scratch folder, written intermediate tables, Arrow helpers."""
+"""What the operators share."""
 
 from __future__ import annotations
 
-import sys
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Executors need not have the package: its functions travel with the tasks.
-cloudpickle.register_pickle_by_value(sys.modules[__name__.partition(".")[0]])
+from linkforge.scratch import Scratch, shared_dir
+
+__all__ = ["Scratch", "arrow_map", "ascii_lower", "shared_dir"]
 
 #: White space of the word contracts, as a Java or RE2 character class body.
 SPACE = r"\x20\x09-\x0D"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a new local one where that is unset."""
-    found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    if not found:
-        found = tempfile.mkdtemp(prefix="linkforge-")
-        spark.sparkContext.setCheckpointDir(found)
-    return found.rstrip("/")
-
-
-class Scratch:
-    """Tables written to a folder of their own below the shared one; they cut lineage and outlive lost executors."""
-
-    def __init__(self, spark: SparkSession, name: str):
-        self.spark, self.root, self.serial = spark, f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}", 0
-        self.paths: dict[int, str] = {}
-
-    def path(self, part: str) -> str:
-        self.serial += 1
-        return f"{self.root}/{part}-{self.serial}"
-
-    def keep(self, df: DataFrame, part: str) -> DataFrame:
-        df.write.parquet(path := self.path(part))
-        out = self.spark.read.schema(df.schema).parquet(path)
-        self.paths[id(out)] = path
-        return out
-
-    def drop(self, df: DataFrame) -> None:
-        if path := self.paths.pop(id(df), None):
-            p = self.spark._jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(p, True)
-
-
 def ascii_lower(c: Column) -> Column:
     """Lower-cases A-Z alone."""
     return F.translate(c, UPPER, LOWER)
