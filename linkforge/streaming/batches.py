@@ -17,7 +17,7 @@ def start(store: Store, checkpoint: str, once: bool = True, every: str = "3 seco
     """Runs a batch for every new landing/batch=<id>/ with a marker.
 
     The file source remembers markers by path, so a batch starts once; its id is its folder's, so a retry after a failure
-    rewrites the same rows.
+    rewrites the same rows. Spark's file sources pass over empty files, so a marker needs a byte here.
     """
 
     def process(markers, epoch: int) -> None:
