@@ -17,6 +17,7 @@ links its members to one hub, and the full search then visits only pairs whose c
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -238,8 +239,6 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -
 
 def fingerprint_column():
     """fingerprint() as an Arrow-batched column function."""
-    import pandas as pd
-
     @F.pandas_udf("long")
     def of(texts: pd.Series) -> pd.Series:
         return pd.Series(np.array([fingerprint(x) for x in texts], np.uint64).view(np.int64), dtype="int64")
