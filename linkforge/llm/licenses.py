@@ -85,16 +85,18 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
     lower = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     df = df.withColumn("__w", F.array_remove(F.split(lower, f"[{GAP}]+"), ""))
     known = rules()
-    words = F.col("__w")
+    words, keys = F.col("__w"), sorted({r[0] for r in known})
+    gate = sorted({*keys, *(w for p, _ in BASE for w in (p.split()[0], p.split()[-1]))})
+    df = df.withColumn("__g", F.array_intersect(words, F.array(*(F.lit(k) for k in gate))))
     places = []
     for phrase, label in BASE:
         parts = phrase.split()
-        may = (F.size(words) >= len(parts)) & F.array_contains(words, parts[0]) & F.array_contains(words, parts[-1])
+        may = (F.size(words) >= len(parts)) & F.array_contains("__g", parts[0]) & F.array_contains("__g", parts[-1])
         places.append(F.when(may, F.filter(F.sequence(F.lit(0), F.size(words) - len(parts)), stands(words, parts))).otherwise(F.array().cast("array<int>")).alias(label))
     df = df.withColumn("__b", F.struct(*places))
-    has = F.arrays_overlap(words, F.array(*(F.lit(k) for k in sorted({r[0] for r in known}))))
+    has = F.exists("__g", lambda k: k.isin(keys))
     df = df.withColumn("__n", F.when(has, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))))
-    due = F.filter(literal(known), lambda r: F.array_contains(words, r["keyword"]))
+    due = F.filter(literal(known), lambda r: F.array_contains(F.col("__g"), r["keyword"]))
     df = df.withColumn("__d", F.when(F.col("__n").isNotNull(), F.flatten(F.transform(due, lambda r: spans(F.col("__n"), r)))))
     inside = lambda x, y: (y["a"] <= x["a"]) & (x["b"] <= y["b"]) & (y["priority"] != x["priority"]) & ((y["b"] - y["a"] > x["b"] - x["a"]) & (y["priority"] > x["priority"]) | (y["b"] - y["a"] > x["b"] - x["a"]) & (y["label"] == x["label"]) | (y["a"] == x["a"]) & (y["b"] == x["b"]) & (y["priority"] > x["priority"]))
     df = df.withColumn("__k", F.array_sort(F.filter("__d", lambda x: ~F.exists("__d", lambda y: inside(x, y)))))
@@ -109,7 +111,7 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
         "base_labels": F.array_join(F.array_sort(base), ","), "labels": F.array_join(F.array_sort(F.array_distinct(F.concat(base, found))), ","),
         "score": F.when(F.size(every) > 0, F.lit(1.0)).otherwise(sure), "detections": F.coalesce(detections, F.from_json(F.lit("[]"), "array<struct<label:string,first_word:bigint,last_word:bigint,priority:int,confidence:double>>")),
     }
-    return df.withColumns(out).drop("__w", "__b", "__n", "__d", "__k")
+    return df.withColumns(out).drop("__w", "__g", "__b", "__n", "__d", "__k")
 
 
 def stands(words: Column, parts: list[str]):
