@@ -129,7 +129,8 @@ def read(index: DataFrame, gap: int = 64 << 10, most: int = 4 << 20) -> DataFram
     Only one such range is held at a time.
     """
     kind = index.schema["page_id"].dataType.simpleString()
-    ordered = index.select("page_id", "path", "offset", "length").repartition("path").sortWithinPartitions("path", "offset")
+    archives = index.select("path").distinct().count()  # a number given keeps the small index rows, which stand for large reads, apart
+    ordered = index.select("page_id", "path", "offset", "length").repartition(max(1, archives), "path").sortWithinPartitions("path", "offset")
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}
