@@ -1,7 +1,7 @@
 """License scans by ordered signature rules, in SQL expressions alone.
 
 Rules are regular expressions over the text's words (lower-cased, joined by one space). A rule runs only on texts that
-hold its keyword. Where detections overlap, one that lies within another's span goes, unless it has the higher
+hold its keyword and one of its second keywords. Where detections overlap, one that lies within another's span goes, unless it has the higher
 priority; equal spans go to the higher priority. One projection: no shuffle and no Python.
 """
 
@@ -32,10 +32,10 @@ FAMILIES = (
     ("ms-pl", "microsoft", "microsoft public", ""), ("ms-rl", "microsoft", "microsoft reciprocal", ""), ("osl", "osl", "osl", "1 0|2 0|3 0"), ("osl", "open", "open software", "1 0|2 0|3 0"), ("afl", "academic", "academic free", "2 1|3 0"), ("odbl", "database", "open (?:data commons open )?database", "1 0"), ("odc-by", "commons", "open data commons attribution", "1 0"),
     ("sspl", "server", "server side public", "1"), ("busl", "business", "business source", "1 1"), ("elastic", "elastic", "elastic", "2 0|2"), ("vim", "vim", "vim", ""), ("postgresql", "postgresql", "postgresql", ""), ("cecill", "cecill", "cecill", "1 0|2 0|2 1"), ("mulan", "mulan", "mulan (?:permissive software|psl)", "1|2"), ("upl", "universal", "universal permissive", "1 0"), ("ecl", "educational", "educational community", "1 0|2 0"),
 )
-#: Prefix, suffix (@: name and optional version) and confidence of the sentences that name a license.
+#: Prefix, suffix (@: optional version), confidence and second keywords of the sentences that name a license.
 SENTENCES = (
-    ("(?:re)?licen[sc]ed under (?:the )?(?:terms of (?:the )?)?", "(?: licen[sc]e)?@", 0.95), ("released under (?:the )?(?:terms of (?:the )?)?", "(?: licen[sc]e)?@", 0.95), ("distributed under (?:the )?(?:terms of (?:the )?)?", "(?: licen[sc]e)?@", 0.9), ("available under (?:the )?", "(?: licen[sc]e)@", 0.85),
-    ("spdx licen[sc]e identifier ", "@", 1.0), ("", " licen[sc]e@", 0.7),
+    ("(?:re)?licen[sc]ed under (?:the )?(?:terms of (?:the )?)?", "(?: licen[sc]e)?@", 0.95, ("under",)), ("released under (?:the )?(?:terms of (?:the )?)?", "(?: licen[sc]e)?@", 0.95, ("under",)), ("distributed under (?:the )?(?:terms of (?:the )?)?", "(?: licen[sc]e)?@", 0.9, ("under",)), ("available under (?:the )?", "(?: licen[sc]e)@", 0.85, ("under",)),
+    ("spdx licen[sc]e identifier ", "@", 1.0, ("spdx",)), ("", " licen[sc]e@", 0.7, ("license", "licence")),
 )
 #: Creative Commons elements, and whole sentences of license texts (keyword, pattern, label, confidence).
 CC = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
@@ -47,23 +47,24 @@ TEXTS = (
 )
 
 
-def rules() -> list[tuple[str, str, int, float, str]]:
-    """(keyword, pattern, priority, confidence, label) in falling priority: longer and more certain signatures first."""
+def rules() -> list[tuple[str, tuple[str, ...], str, int, float, str]]:
+    """(keyword, second keywords, pattern, priority, confidence, label) in falling priority: longer and more certain
+    signatures first. A text that a rule matches holds its keyword and one of its second keywords as words."""
     out = []
-    for (label, keyword, name, version), (prefix, suffix, sure) in product(FAMILIES, SENTENCES):
+    for (label, keyword, name, version), (prefix, suffix, sure, second) in product(FAMILIES, SENTENCES):
         tail = rf"(?: version)?(?: v?(?:{version}))?(?: or later| only)?" if version else ""
-        out.append((keyword, prefix + name + suffix.replace("@", tail), sure, label))
-    for prefix, parts in product(("(?:licensed under )?(?:the )?(?:creative commons|cc)", "spdx licen[sc]e identifier cc"), CC):
+        out.append((keyword, second, prefix + name + suffix.replace("@", tail), sure, label))
+    for (prefix, second), parts in product((("(?:licensed under )?(?:the )?(?:creative commons|cc)", ("by", "attribution")), ("spdx licen[sc]e identifier cc", ("spdx",))), CC):
         long = parts.replace("by", "(?:by|attribution)").replace("nc", "(?:nc|non ?commercial)").replace("nd", "(?:nd|no ?deriv(?:ative|atives|s))").replace("sa", "(?:sa|share ?alike)")
-        out += [(k, f"{prefix} {long}(?: (?:1|2|2 5|3|4) ?0?)?(?: international)?", 0.9, "cc-" + parts.replace(" ", "-")) for k in ("cc", "commons")]
-    out += [(k, p, sure, label) for k, p, label, sure in TEXTS]
-    out.sort(key=lambda r: (-r[2], -len(r[1]), r[1], r[0]))
-    return [(k, p, len(out) - i, sure, label) for i, (k, p, sure, label) in enumerate(out)]
+        out += [(k, second, f"{prefix} {long}(?: (?:1|2|2 5|3|4) ?0?)?(?: international)?", 0.9, "cc-" + parts.replace(" ", "-")) for k in ("cc", "commons")]
+    out += [(k, (k,), p, sure, label) for k, p, label, sure in TEXTS]
+    out.sort(key=lambda r: (-r[3], -len(r[2]), r[2], r[0]))
+    return [(k, second, p, len(out) - i, sure, label) for i, (k, second, p, sure, label) in enumerate(out)]
 
 
 def literal(found: list[tuple]) -> Column:
-    names = ("keyword", "pattern", "priority", "sure", "label")
-    return F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, (k, f"(?<= )(?:{p})(?= )", n, s, lab), strict=True))) for k, p, n, s, lab in found))
+    names = ("keyword", "second", "pattern", "priority", "sure", "label")
+    return F.array(*(F.struct(*(F.lit(v).alias(n) for n, v in zip(names, (k, list(second), f"(?<= )(?:{p})(?= )", n, s, lab), strict=True))) for k, second, p, n, s, lab in found))
 
 
 def spans(norm: Column, rule: Column) -> Column:
@@ -80,13 +81,14 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
 
     Base places are found on the array of words. detections: the rules' kept matches (label, word span, priority,
     confidence) in text order; score: the highest confidence among them, 1 if there is a base place (else 0). Null
-    counts as empty; a text without words has no places. Texts without any keyword skip the rules.
+    counts as empty; a text without words has no places. A rule runs on texts that hold its keywords (a common word,
+    such as German "mit", is no use alone); the others skip it.
     """
     lower = ascii_lower(F.coalesce(F.col(text_col), F.lit("")))
     df = df.withColumn("__w", F.array_remove(F.split(lower, f"[{GAP}]+"), ""))
     known = rules()
     words, keys = F.col("__w"), sorted({r[0] for r in known})
-    gate = sorted({*keys, *(w for p, _ in BASE for w in (p.split()[0], p.split()[-1]))})
+    gate = sorted({*keys, *(w for r in known for w in r[1]), *(w for p, _ in BASE for w in (p.split()[0], p.split()[-1]))})
     df = df.withColumn("__g", F.array_intersect(words, F.array(*(F.lit(k) for k in gate))))
     places = []
     for phrase, label in BASE:
@@ -94,10 +96,10 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
         may = (F.size(words) >= len(parts)) & F.array_contains("__g", parts[0]) & F.array_contains("__g", parts[-1])
         places.append(F.when(may, F.filter(F.sequence(F.lit(0), F.size(words) - len(parts)), stands(words, parts))).otherwise(F.array().cast("array<int>")).alias(label))
     df = df.withColumn("__b", F.struct(*places))
-    has = F.exists("__g", lambda k: k.isin(keys))
-    df = df.withColumn("__n", F.when(has, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))))
-    due = F.filter(literal(known), lambda r: F.array_contains(F.col("__g"), r["keyword"]))
-    df = df.withColumn("__d", F.when(F.col("__n").isNotNull(), F.flatten(F.transform(due, lambda r: spans(F.col("__n"), r)))))
+    due = F.filter(literal(known), lambda r: F.array_contains(F.col("__g"), r["keyword"]) & F.arrays_overlap(F.col("__g"), r["second"]))
+    df = df.withColumn("__r", F.when(F.exists("__g", lambda k: k.isin(keys)), due))
+    df = df.withColumn("__n", F.when(F.size("__r") > 0, F.concat(F.lit(" "), F.array_join(words, " "), F.lit(" "))))
+    df = df.withColumn("__d", F.when(F.col("__n").isNotNull(), F.flatten(F.transform("__r", lambda r: spans(F.col("__n"), r)))))
     inside = lambda x, y: (y["a"] <= x["a"]) & (x["b"] <= y["b"]) & (y["priority"] != x["priority"]) & ((y["b"] - y["a"] > x["b"] - x["a"]) & (y["priority"] > x["priority"]) | (y["b"] - y["a"] > x["b"] - x["a"]) & (y["label"] == x["label"]) | (y["a"] == x["a"]) & (y["b"] == x["b"]) & (y["priority"] > x["priority"]))
     df = df.withColumn("__k", F.array_sort(F.filter("__d", lambda x: ~F.exists("__d", lambda y: inside(x, y)))))
     word = lambda at: F.size(F.split(F.substring(F.col("__n"), F.lit(1), at), " ")) - 2
@@ -111,7 +113,7 @@ def scan(df: DataFrame, text_col: str = "text") -> DataFrame:
         "base_labels": F.array_join(F.array_sort(base), ","), "labels": F.array_join(F.array_sort(F.array_distinct(F.concat(base, found))), ","),
         "score": F.when(F.size(every) > 0, F.lit(1.0)).otherwise(sure), "detections": F.coalesce(detections, F.from_json(F.lit("[]"), "array<struct<label:string,first_word:bigint,last_word:bigint,priority:int,confidence:double>>")),
     }
-    return df.withColumns(out).drop("__w", "__g", "__b", "__n", "__d", "__k")
+    return df.withColumns(out).drop("__w", "__g", "__b", "__r", "__n", "__d", "__k")
 
 
 def stands(words: Column, parts: list[str]):
