@@ -25,7 +25,7 @@ FAMILIES = (
     ("mit", "mit", "mit", ""), ("mit-0", "mit", "mit no attribution", ""), ("x11", "x11", "x11", ""), ("isc", "isc", "isc", ""), ("apache", "apache", "apache(?: software)?(?: foundation)?", "1 0|1 1|2 0|2"),
     ("gpl", "gnu", "gnu general public", "1|2|3|2 0|3 0"), ("gpl", "gpl", "gpl", "1|2|3|2 0|3 0"), ("lgpl", "lesser", "(?:gnu )?lesser general public", "2 1|3|3 0"), ("lgpl", "library", "(?:gnu )?library general public", "2|2 0"), ("lgpl", "lgpl", "lgpl", "2|2 1|3|3 0"),
     ("agpl", "affero", "(?:gnu )?affero general public", "1|3|3 0"), ("agpl", "agpl", "agpl", "1|3|3 0"), ("gfdl", "documentation", "(?:gnu )?free documentation", "1 1|1 2|1 3"),
-    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd|freebsd)", ""), ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)", ""), ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)", ""), ("bsd", "bsd", "bsd", ""),
+    ("bsd-2-clause", "bsd", "(?:bsd 2 clause|2 clause bsd|simplified bsd)", ""), ("bsd-2-clause", "freebsd", "freebsd", ""), ("bsd-3-clause", "bsd", "(?:bsd 3 clause|3 clause bsd|new bsd|modified bsd|revised bsd)", ""), ("bsd-4-clause", "bsd", "(?:bsd 4 clause|4 clause bsd|original bsd)", ""), ("bsd", "bsd", "bsd", ""),
     ("mpl", "mozilla", "mozilla public", "1 0|1 1|2 0|2"), ("mpl", "mpl", "mpl", "1 0|1 1|2 0|2"), ("epl", "eclipse", "eclipse public", "1 0|2 0"), ("epl", "epl", "epl", "1 0|2 0"), ("cddl", "cddl", "cddl", "1 0|1 1"), ("cddl", "distribution", "common development and distribution", "1 0|1 1"), ("cpl", "common", "common public", "1 0"),
     ("eupl", "eupl", "eupl", "1 1|1 2"), ("eupl", "european", "european union public", "1 1|1 2"), ("artistic", "artistic", "artistic", "1 0|2 0"), ("bsl", "boost", "boost software", "1 0"), ("zlib", "zlib", "zlib(?: libpng)?", ""), ("libpng", "libpng", "libpng", "1 6|2 0"), ("unlicense", "unlicense", "(?:the )?unlicense", ""), ("wtfpl", "wtfpl", "wtfpl", "2"),
     ("psf", "python", "python software foundation", "2"), ("php", "php", "php", "3 0|3 01"), ("ruby", "ruby", "ruby", ""), ("perl", "perl", "perl", ""), ("openssl", "openssl", "openssl", ""), ("ofl", "sil", "sil open font", "1 0|1 1"), ("ofl", "ofl", "ofl", "1 0|1 1"), ("ncsa", "ncsa", "(?:uiuc )?ncsa", ""),

@@ -199,6 +199,20 @@ def test_licenses_against_plain(spark):
     assert len(licenses.rules()) > 300
 
 
+def test_license_gate_loses_no_match(spark):
+    names = ("mit", "apache software foundation", "gnu general public", "gpl", "lgpl", "mozilla public", "simplified bsd", "freebsd", "unlicense", "python software foundation", "creative commons attribution share alike", "cc by nc", "psl mulan psl")
+    forms = ("licensed under the {}", "relicenced under the terms of the {} license version 2 0 or later", "released under {}", "distributed under the {} licence", "available under the {} license", "spdx license identifier {}", "the {} licence v3 only", "{}")
+    whole = [p for _, p, _, _ in licenses.TEXTS if "(" not in p]
+    matched = 0
+    for text in [f.format(n) for f in forms for n in names] + whole:
+        held = set(text.split())
+        for keyword, second, pattern, *_ in licenses.rules():
+            if re.search(rf"(?<= )(?:{pattern})(?= )", f" {text} "):
+                matched += 1
+                assert keyword in held and held & set(second) or any(k != keyword and p == pattern and k in held and held & set(s) for k, s, p, *_ in licenses.rules()), (text, pattern)
+    assert matched > 100
+
+
 def near(a, b):
     return bin(a ^ b).count("1") <= 4
 
