@@ -40,6 +40,24 @@ def identifier_pairs(recs: DataFrame) -> DataFrame:
     return same_key(recs, F.nullif("p", F.lit(""))).unionByName(same_key(recs, F.nullif("g", F.lit("")))).distinct()
 
 
+def phone_pairs(recs: DataFrame) -> DataFrame:
+    """Cross-source pairs (o1, o2) whose phones are given and at most one edit apart.
+
+    Found among distinct phones by an equi-join: phones that are equal or differ by a substitution agree in all but one
+    place, and one that lacks a character equals the other without it. Records join the phones that are left.
+    """
+    t = F.col("t")
+    places = F.sequence(F.lit(1), F.length(t))
+    without = lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t)))
+    key = lambda at, rest: F.struct(at.alias("at"), rest.alias("rest"))
+    keys = F.concat(F.array(key(F.lit(0), t)), F.transform(places, lambda i: key(i, without(i))), F.transform(places, lambda i: key(F.lit(0), without(i))))
+    keyed = recs.where("t <> ''").select("t").distinct().select("t", F.explode(F.array_distinct(keys)).alias("k"))
+    a, b = (keyed.select("k", F.col("t").alias(f"t{i}")) for i in (1, 2))
+    near = a.join(b, "k").where(F.levenshtein("t1", "t2", 1) >= 0).select("t1", "t2").distinct()
+    x, y = (recs.select(F.col("t").alias(f"t{i}"), F.col("ord").alias(f"o{i}"), F.col("source").alias(f"s{i}")) for i in (1, 2))
+    return near.join(x, "t1").join(y, "t2").where("s1 < s2").select("o1", "o2")
+
+
 def least_jaccard(model: Model) -> float:
     """What the address must reach if identifier and pin code differ and all else agrees."""
     rest = sum(model.weight_of(f) for f in ("name", "sector", "phone"))

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from linkforge.functions.identity import key_id
 from linkforge.functions.similarity import jaro_winkler
 from linkforge.functions.text import normal_name, tokens, trim
-from linkforge.operators.candidates import identifier_pairs, prepared, same_key
+from linkforge.operators.candidates import identifier_pairs, phone_pairs, prepared, same_key
 from linkforge.operators.model import WEIGHTS, Model
 from linkforge.operators.registry import registry_rows, review_items
 from linkforge.operators.scoring import cheap_features, joined, weighted
@@ -60,7 +60,7 @@ def token_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def phone_near_match(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pin_pairs(spark, sf_dir).where("phone = 1").select(F.col("ord1").alias("o1"), F.col("ord2").alias("o2"))
+    return phone_pairs(prepared(feed(spark, sf_dir)))
 
 
 def scored_pairs_cheap(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,12 +4,12 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
-from linkforge.operators.candidates import blocked, prepared, theta
+from linkforge.operators.candidates import blocked, phone_pairs, prepared, theta
 from linkforge.operators.components import components
 from linkforge.operators.model import Model
 from linkforge.operators.review import submit
 from linkforge.operators.scoring import scored
-from linkforge.plans import views
+from linkforge.plans import queries, views
 from linkforge.plans.batch import run_batch
 from linkforge.schemas import FIELDS
 from linkforge.scratch import Scratch
@@ -122,3 +122,31 @@ def test_components(spark):
         parent[max(x, y)] = min(x, y)
     got = {v: c for v, c in components(spark.createDataFrame(edges, "a long, b long"), Scratch(spark, "t")).collect()}
     assert got == {v: find(v) for a, b in edges if a != b for v in (a, b)}
+
+
+def test_phone_pairs_lose_nothing(spark):
+    phones = ["9000000001", "9000000002", "900000001", "19000000001", "9000000021", "9000000012", "", "", "7", "8", "78", "é1", "1", " 9000000001 "]
+    rows = [(f"{s}{i}", s, f"R{i}", "", "", "", "", str(i), "", p, "") for i, p in enumerate(phones) for s in "abc"]
+    recs = prepared(spark.createDataFrame(rows, "ord string, source string, " + ", ".join(f"{f} string" for f in FIELDS)))
+
+    def near(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            new = [i]
+            for j, d in enumerate(y, 1):
+                new.append(min(row[j - 1] + (c != d), row[j] + 1, new[-1] + 1))
+            row = new
+        return row[-1] <= 1
+
+    want = sorted((r[0], q[0]) for r in rows for q in rows if r[1] < q[1] and r[9].strip() and q[9].strip() and near(r[9].strip(), q[9].strip()))
+    assert sorted(map(tuple, phone_pairs(recs).collect())) == want and len(want) > 50
+
+
+def test_phone_query_finds_near_phones(spark):
+    sf = "/root/testdata/sf0.001"
+    f = queries.feed(spark, sf).select("ord", "source", "phone").collect()
+    edits = lambda a, b: sum(x != y for x, y in zip(a, b, strict=True))
+    # All phones of the feed have ten digits; a pair one insertion and one deletion apart has two edits.
+    want = sorted((a["ord"], b["ord"]) for a in f for b in f if a["source"] < b["source"] and edits(a["phone"], b["phone"]) <= 1)
+    assert sorted(map(tuple, queries.phone_near_match(spark, sf).collect())) == want
+    assert any(a[-19:] != b[-19:] for a, b in want)
