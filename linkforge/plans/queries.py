@@ -55,8 +55,15 @@ def pin_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cheap_features(joined(recs, same_key(recs, F.nullif("z", F.lit("")))))
 
 
+def all_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every cross-source pair: a small feed is one partition, so one side is dealt out first."""
+    recs = prepared(feed(spark, sf_dir)).drop("rec")
+    a, b = (recs.select(*(F.col(c).alias(f"{c}{i}") for c in recs.columns)) for i in (1, 2))
+    return cheap_features(a.repartition(4 * spark.sparkContext.defaultParallelism).join(b, F.col("source1") < F.col("source2")))
+
+
 def token_jaccard_pairs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return pin_pairs(spark, sf_dir).select(F.col("ord1").alias("o1"), F.col("ord2").alias("o2"), F.round("address", 9).alias("jaccard"))
+    return all_pairs(spark, sf_dir).select(F.col("ord1").alias("o1"), F.col("ord2").alias("o2"), F.round("address", 9).alias("jaccard"))
 
 
 def phone_near_match(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -67,8 +74,16 @@ def scored_pairs_cheap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pin_pairs(spark, sf_dir).select(F.col("ord1").alias("o1"), F.col("ord2").alias("o2"), F.round(weighted(Model(), ("name",)), 6).alias("score"))
 
 
+def scored_pairs_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """As scored_pairs_cheap, whose SQL asks for equal pin codes, but of every cross-source pair."""
+    return all_pairs(spark, sf_dir).select(F.col("ord1").alias("o1"), F.col("ord2").alias("o2"), F.round(weighted(Model(), ("name",)), 6).alias("score"))
+
+
 def jaro_winkler_names(spark: SparkSession, sf_dir: str) -> DataFrame:
-    names = pin_pairs(spark, sf_dir).select("n1", "n2").distinct()
+    """Of distinct names: n1 is in an earlier source than n2 if its first source is before the last of n2."""
+    known = prepared(feed(spark, sf_dir)).groupBy("n").agg(F.min("source").alias("lo"), F.max("source").alias("hi"))
+    a, b = (known.select(*(F.col(c).alias(f"{c}{i}") for c in known.columns)) for i in (1, 2))
+    names = a.repartition(4 * spark.sparkContext.defaultParallelism).join(b, F.col("lo1") < F.col("hi2"))
     return names.select("n1", "n2", F.round(jaro_winkler(F.col("n1"), F.col("n2")), 9).alias("similarity"))
 
 
@@ -160,7 +175,7 @@ def json_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: tuple[Callable[[SparkSession, str], DataFrame], ...] = (
-    ingest_normalized, pair_counts_by_source, identifier_match_pairs, token_jaccard_pairs, phone_near_match, scored_pairs_cheap, jaro_winkler_names, zone_summary, review_pairs, auto_link_clusters, cluster_ids,
+    ingest_normalized, pair_counts_by_source, identifier_match_pairs, token_jaccard_pairs, phone_near_match, scored_pairs_cheap, scored_pairs_all, jaro_winkler_names, zone_summary, review_pairs, auto_link_clusters, cluster_ids,
     registry_summary, singletons, registry_tail_50, best_evidence, comparison_view, feature_bands, weight_bars, feedback_fold, queue_latest, pending_count, json_extract,
 )
 

@@ -4,6 +4,7 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from linkforge.functions.similarity import jaro_winkler_of
 from linkforge.operators.candidates import blocked, phone_pairs, prepared, theta
 from linkforge.operators.components import components
 from linkforge.operators.model import Model
@@ -150,3 +151,20 @@ def test_phone_query_finds_near_phones(spark):
     want = sorted((a["ord"], b["ord"]) for a in f for b in f if a["source"] < b["source"] and edits(a["phone"], b["phone"]) <= 1)
     assert sorted(map(tuple, queries.phone_near_match(spark, sf).collect())) == want
     assert any(a[-19:] != b[-19:] for a, b in want)
+
+
+def test_feature_queries_see_every_pair(spark):
+    sf = "/root/testdata/sf0.001"
+    recs = prepared(queries.feed(spark, sf)).persist()
+    f = {r["ord"]: r for r in recs.collect()}
+    pairs = [(a, b) for a in f for b in f if f[a]["source"] < f[b]["source"]]
+    got = {(r["o1"], r["o2"]): r["jaccard"] for r in queries.token_jaccard_pairs(spark, sf).collect()}
+    scores = {(r["o1"], r["o2"]): r["score"] for r in queries.scored_pairs_all(spark, sf).collect()}
+    cheap = {(r["o1"], r["o2"]): r["score"] for r in queries.scored_pairs_cheap(spark, sf).collect()}
+    assert sorted(got) == sorted(scores) == sorted(pairs) and cheap == {p: scores[p] for p in cheap} and len(cheap) < len(pairs)
+    for a, b in pairs:
+        x, y = set(f[a]["at"]), set(f[b]["at"])
+        if x and y:
+            assert got[a, b] == round(len(x & y) / len(x | y), 9)
+    names = {(r["n1"], r["n2"]): r["similarity"] for r in queries.jaro_winkler_names(spark, sf).collect()}
+    assert names == {(f[a]["n"], f[b]["n"]): round(jaro_winkler_of(f[a]["n"], f[b]["n"]), 9) for a, b in pairs}
