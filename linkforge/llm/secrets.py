@@ -1,8 +1,8 @@
 """Secret scans: base patterns, and a token-efficiency test for random strings.
 
 Ordinary words take few tokens of a byte-pair vocabulary; random strings take one for every two or three characters.
-Strings of letters, digits and a few signs that mix digits with letters, are long enough, and have few characters per
-token are reported, unless they are digests of a known length, UUIDs, numbers, or identifiers made of words.
+Strings of letters, digits and a few signs that have letters, are long enough, and have few characters per token are
+reported, unless they are digests of a known length, UUIDs, numbers, or identifiers made of words.
 """
 
 from __future__ import annotations
@@ -26,10 +26,13 @@ ASSIGN = re.compile(r"""(?ai:password|passwd|secret|token|api_?key)["']?\x20*[:=
 ACCESS, HEX = re.compile(r"AKIA[A-Z0-9]+"), re.compile(r"[0-9a-f]{16,}")
 KINDS = ("assign", "access", "hex", "random")
 WORDS = ("passw", "secret", "token", "key")
-CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_-]{{{MIN_CHARS},}}={{0,2}}(?![A-Za-z0-9+/_=-])")
+#: '=' is a delimiter before and after a string; only as padding, at the end of a value, does it belong to it.
+CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_CHARS},}}+(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?")
 #: Digests and identifiers: whole-string forms that are no secrets by themselves.
 KNOWN = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|sha(?:1|256|384|512)-[A-Za-z0-9+/]+=*|[\d_-]+)\Z")
 IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|\d{1,4})(?:[/_-]?(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|\d{1,4}(?=[/_-]|\Z)))*\Z")
+#: A single run of letters isn't made of words that can be told apart: its tokens decide.
+ONE_CASE = re.compile(r"(?:[a-z]+|[A-Z]+)\Z")
 
 
 def read_vocabulary(path: str) -> dict[bytes, int]:
@@ -58,7 +61,7 @@ def random_spans(text: str, known: list[tuple[int, int, int]], encode) -> list[t
     out = []
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if s.isalpha() or KNOWN.match(s) or IDENTIFIER.match(s) or not any(c.isdigit() for c in s) or not any(c.isalpha() for c in s):
+        if KNOWN.match(s) or IDENTIFIER.match(s) and not ONE_CASE.match(s) or not any(c.isalpha() for c in s):
             continue
         if any(a < m.end() and m.start() < b for a, _, b in known):
             continue

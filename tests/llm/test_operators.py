@@ -185,6 +185,17 @@ def test_secrets(spark):
     assert texts[n][a:b] == key
 
 
+def test_secrets_after_equals_and_of_letters(spark):
+    values = {"AWS_SECRET_ACCESS_KEY={}": "wJalrXUtnFEMI/K7MDENG/bPxRfiCYEXAMPLEKEY", "export PRIVATE_KEY={}\n": "q8Zt3LmW0xYv7KpR2nBd", "GET /x?sig={}&a=1": "Zk3tR8vQ1mN6yP4wX0cD", "x?{}=1": "Zk3tR8vQ1mN6yP4wX0cD", "KEY={} ": "q8Zt3LmW0xYv7KpR2nBdQ4==", "KEY= {}": "xQzRtYbNmKpLwVhGfDsAjCuEiOqWxZkT", "PRIVATE_KEY={}": "qzxkvjwpbgmtrhcfyqzxwkvbnjtpgdls", "K={}": "QZXKVJWPBGMTRHCFYQZXWKVBNJTPGDLS"}
+    plain = ["NAME_OF_THE_LAST_SETTING=value", "internationalization=electroencephalographically", "rechtsschutzversicherungsgesellschaften", "=" * 40, "-" * 40, "path=/usr/local/share/applications", "SHA=5f4dcc3b-5aa7-65d6-1d83-27deb882cf99"]
+    texts = [k.format(v) for k, v in values.items()]
+    rows = {x["doc_id"]: x["spans"] for x in secrets.scan(docs(spark, texts + plain)).collect()}
+    for i, (t, v) in enumerate(zip(texts, values.values(), strict=True)):
+        a = t.index(v)
+        assert rows[i] == f"random:{a}:{a + len(v)}", t
+    assert [rows[len(texts) + i] for i in range(len(plain))] == [""] * len(plain)
+
+
 def test_licenses_against_plain(spark):
     texts = [*ODD, "Released under the MIT License. mit license", "GNU General Public License, version 3, Apache License", "Licensed under CC BY-NC 4.0.", "İmit license K license"]
     rows = {x["doc_id"]: x for x in licenses.scan(docs(spark, texts)).collect()}
