@@ -32,6 +32,14 @@ IMPLIED = {
 SCOPE = frozenset("table td th caption button object template html".split())
 #: Words of class, id or role that mark blocks beside the article.
 BAD = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion popup modal overlay cookie cookies consent gdpr notice alert nav navbar navigation menu menubar breadcrumb breadcrumbs pagination pager sidebar side aside rail widget footer foot copyright header masthead topbar toolbar comment comments commentlist disqus reply replies respond discussion social share sharing related recommended recommendations newsletter subscribe subscription signup login search complementary contentinfo skip hidden tags toc".split())
+#: Elements that their attributes never mark.
+SPARED = frozenset("html body article main".split())
+#: Words before a bad word that make a name tell of the page's layout: has-sidebar, no-sidebar, with-comments.
+LAYOUT = frozenset("has have no not with without layout".split())
+#: A name that only contains a bad word marks nodes with a smaller share of the page's text than this.
+MOST_SHARE = 0.5
+#: A result with a smaller share of the page's text is taken again without class, id and role.
+LEAST_SHARE = 0.1
 GOOD = re.compile(r"article|body|content|entry|main|page|post|text|blog|story", re.I)
 TOKEN = re.compile(r"<(?:!--(?:>|->|(.*?)(?:--!?>|\Z))|(/?)([A-Za-z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|[!?/][^>]*>)", re.S)
 LOOSE = re.compile(r"<(/?)([A-Za-z][^\s/>]*)([^>]*)(?:>|\Z)", re.S)
@@ -39,26 +47,34 @@ ATTR = re.compile(r"\b(class|id|role|hidden|style|aria-hidden)\b(?:\s*=\s*(?:\"(
 COMMAS = re.compile("[,،、，]")
 
 
+NONE = (False, False, False, False)
+
+
 class Node:
-    __slots__ = ("attrs", "base", "kids", "link", "marked", "parent", "score", "size", "tag")
+    __slots__ = ("attrs", "base", "bulk", "kids", "link", "marked", "marks", "parent", "score", "size", "tag")
 
     def __init__(self, tag: str, parent: Node | None, attrs: str = ""):
         self.tag, self.parent, self.kids, self.attrs = tag, parent, [], attrs
         self.score, self.base, self.size, self.link, self.marked = 0.0, None, 0, 0, False
+        self.bulk, self.marks = 0, NONE
 
 
-def marks(raw: str) -> tuple[bool, bool]:
-    """(beside the article, likely the article) by an element's attributes."""
-    bad = good = False
+def marks(raw: str) -> tuple[bool, bool, bool, bool]:
+    """(hidden, a whole name is bad, part of a name is, likely the article) by an element's attributes."""
+    hidden = whole = part = good = False
     for m in ATTR.finditer(raw):
         name, value = m[1].lower(), m[2] or m[3] or m[4] or ""
         if name == "hidden" or name == "aria-hidden" and value.lower() == "true" or name == "style" and re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", value, re.I):
-            bad = True
+            hidden = True
         elif name in ("class", "id", "role"):
-            words = re.split(r"[\s_\-:]+", re.sub(r"([a-z])([A-Z])", r"\1 \2", value).lower())
-            bad |= any(w.rstrip("0123456789") in BAD for w in words)
+            for one in value.split():
+                words = [w.rstrip("0123456789") for w in re.split(r"[_\-:]+", re.sub(r"([a-z])([A-Z])", r"\1-\2", one).lower())]
+                at = next((i for i, w in enumerate(words) if w in BAD), None)
+                if at is not None and LAYOUT.isdisjoint(words[:at]):
+                    whole |= len(words) == 1
+                    part |= len(words) > 1
             good |= bool(GOOD.search(value))
-    return bad, good and not bad
+    return hidden, whole, part, good
 
 
 def tree(page: str) -> Node:
@@ -119,18 +135,59 @@ def tree(page: str) -> Node:
     return root
 
 
-def gauge(root: Node) -> list[Node]:
-    """Text and link sizes of all nodes, marks, and points passed up; the nodes in page order."""
+def weigh(root: Node) -> set[Node]:
+    """Attributes and text sizes (bulk) of all nodes, without what is hidden or never text.
+
+    The nodes that hold, or are, an article or main of at least a quarter of the longest one's text are returned.
+    """
     order, todo = [], [root]
+    while todo:
+        x = todo.pop()
+        if x.attrs:
+            x.marks = marks(x.attrs)
+        if x.tag not in DROP and not (x.marks[0] and x.tag not in SPARED):
+            order.append(x)
+            todo += [k for k in x.kids if isinstance(k, Node)]
+    for x in reversed(order):
+        x.bulk += sum(len(" ".join(k.split())) for k in x.kids if isinstance(k, str))
+        if x.parent is not None:
+            x.parent.bulk += x.bulk
+    told = [x for x in order if x.tag in ("article", "main") and x.bulk and not (x.marks[1] or x.marks[2])]
+    least = max((x.bulk for x in told), default=0) / 4
+    out: set[Node] = set()
+    for x in told:
+        while x.bulk >= least and x not in out:
+            out.add(x)
+            if x.parent is None:
+                break
+            x = x.parent
+    return out
+
+
+def beside(x: Node, root: Node, holders: set[Node]) -> bool:
+    """Whether the names of a node put it beside the article.
+
+    They don't where it holds the article. A name that is a bad word, but not beside one of the article, always counts;
+    otherwise the node's text must be the smaller part of the page.
+    """
+    _, whole, part, good = x.marks
+    if not (whole or part) or x in holders or x.tag in SPARED:
+        return False
+    return whole and not good or x.bulk < MOST_SHARE * root.bulk
+
+
+def gauge(root: Node, names: bool = True) -> list[Node]:
+    """Text and link sizes of all nodes, marks, and points passed up; the nodes in page order. Without names, class, id
+    and role mark nothing."""
+    order, todo, holders = [], [root], weigh(root)
     while todo:
         x = todo.pop()
         order.append(x)
         if x.tag in DROP:
             x.marked = True
         elif x.attrs:
-            bad, good = marks(x.attrs)
-            x.marked = bad and x.tag not in ("html", "body", "article", "main")
-            x.base = 25.0 if good else None
+            x.marked = x.marks[0] and x.tag not in SPARED or names and beside(x, root, holders)
+            x.base = 25.0 if x.marks[3] and not x.marked else None
         if x.tag == "header" and not any(p.tag in ("article", "main") for p in up(x)):
             x.marked = True
         if not x.marked:
@@ -216,7 +273,15 @@ def main_text(page: str | None) -> str:
     """
     if not page or not page.strip():
         return ""
-    order = gauge(root := tree(page))
+    text = best_text(root := tree(page))
+    if len(text) < LEAST_SHARE * root.bulk and any(x.marked and (x.marks[1] or x.marks[2]) for x in walk(root)):
+        text = max(text, best_text(tree(page), names=False), key=len)
+    return text
+
+
+def best_text(root: Node, names: bool = True) -> str:
+    """The blocks of the best container and of its siblings that score alike."""
+    order = gauge(root, names)
     scored = [x for x in order if x.score > 0 and not x.marked and x.tag in BLOCK | {"#root"}]
     if not scored:
         return "\n\n".join(blocks([root]))

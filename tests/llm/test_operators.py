@@ -287,3 +287,13 @@ def test_near_duplicates_odd_rows(spark):
     kept = simhash.deduplicate(df)
     assert kept.columns == df.columns and sorted(x["doc_id"] for x in kept.collect() if x["doc_id"] != 11) == [3, 5, 9]
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.deduplicate(df.limit(0)).count() == 0
+
+
+@pytest.mark.parametrize("name", ["container has-sidebar", "no-sidebar", "with-comments", "layout-header-fixed", "page sidebar", "side-by-side", "sidebar", "hasSidebar"])
+def test_html_layout_names_lose_no_article(name):
+    text = [f"Paragraph {i}, of the article, is long enough, with commas, to be scored as text." for i in range(6)]
+    inner = "".join(f"<p>{t}</p>" for t in text)
+    side = "<div class=sidebar><p>Side, text, that, has, commas.</p></div><div class='post-comments'><article class='comment'><p>Nice, post, friend, thanks, a lot.</p></article></div>"
+    want = "\n\n".join(text)
+    assert html_extract.main_text(f"<body><div class='{name}'><article>{inner}</article>{side}</div></body>") == want
+    assert html_extract.main_text(f"<body><p>Menu</p><div id='{name}'>{inner}</div></body>").endswith(want)
