@@ -4,6 +4,7 @@ If a benchmark passage of m characters occurs in a text with e edits or fewer, t
 character q-grams, all of them on diagonals (place in the text less place in the passage) within e of one another.
 For every passage the shared q-grams are counted in overlapping bands of diagonals, each 2 (e + 1) wide and e + 1 apart, so
 any e + 1 neighbouring diagonals lie in one band. Bands that meet the bound are verified by a banded alignment.
+Passages with fewer than q characters have no q-gram: they are looked up exactly, between word limits.
 """
 
 from __future__ import annotations
@@ -16,8 +17,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 Q, EDIT_PERCENT = 8, 8
-#: Passages with fewer characters are too short to tell a leak from a phrase.
-MIN_CHARS = 40
+#: First and last code points of scripts that are written without spaces: any two characters may be a word limit.
+UNSPACED = ((0x0E00, 0x0EFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x3005, 0x3007), (0x3040, 0x30FF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xF900, 0xFAFF), (0xFF66, 0xFF9F), (0x1B000, 0x1B16F), (0x20000, 0x3FFFF))
 #: Characters of benchmark text that are sent to the executors at once; a larger benchmark takes several passes.
 BLOCK_CHARS = 4_000_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
@@ -60,6 +61,11 @@ class Index:
     def __init__(self, items: list[tuple[int, str]]):
         self.items = [(k, codes(t)) for k, t in items]
         h, item, place = [], [], []
+        short: dict[int, dict[int, list[int]]] = {}
+        for i, (_, c) in enumerate(self.items):
+            if 0 < len(c) < Q:
+                short.setdefault(len(c), {}).setdefault(int(grams(c, len(c))[0]), []).append(i)
+        self.short = [(q, np.array(sorted(known), np.uint64), known) for q, known in short.items()]
         for i, (_, c) in enumerate(self.items):
             g = grams(c)
             h.append(g)
@@ -80,6 +86,31 @@ class Index:
         return np.repeat(at, n) + first, self.item[rows], self.place[rows]
 
 
+def limits(c: np.ndarray) -> np.ndarray:
+    """Whether a word may begin or end before each place of a normalised text, and at its end."""
+    out = np.ones(len(c) + 1, bool)
+    free = c == 32
+    for a, b in UNSPACED:
+        free |= (c >= a) & (c <= b)
+    out[1:-1] = free[:-1] | free[1:]
+    return out
+
+
+def exact(c: np.ndarray, index: Index) -> dict[int, tuple[int, int]]:
+    """(0, first place) of each passage of fewer than Q characters that stands in the text between word limits."""
+    out = {}
+    cut = limits(c) if index.short else None
+    for q, hashes, known in index.short:
+        g = grams(c, q)
+        if not len(g):
+            continue
+        near = hashes[np.minimum(np.searchsorted(hashes, g), len(hashes) - 1)]
+        at = np.flatnonzero((near == g) & cut[: len(g)] & cut[q : q + len(g)])
+        for k in at[np.unique(g[at], return_index=True)[1]].tolist():
+            out |= {i: (0, k) for i in known[int(g[k])] if np.array_equal(index.items[i][1], c[k : k + q])}
+    return out
+
+
 def regions(at: np.ndarray, item: np.ndarray, place: np.ndarray, index: Index) -> list[tuple[int, int]]:
     """(passage, lowest diagonal) of the bands with enough different places of the passage."""
     out = []
@@ -118,30 +149,28 @@ def aligned(passage: np.ndarray, part: np.ndarray, most: int) -> int | None:
     return int(row.min())
 
 
-def find(text: str | None, index: Index, chunk: int = 1 << 20) -> list[tuple[int, int, int]]:
-    """(item_id, edits, place in the normalised text) of each passage in the text, with the fewest edits."""
+def find(text: str | None, index: Index, chunk: int = 1 << 20) -> list[tuple[int, int, int, int]]:
+    """(item_id, edits, place in the normalised text, length) of each passage in the text, with the fewest edits."""
     c = codes(normal(text))
     parts = [index.hits(grams(c[k : k + chunk + Q - 1]), k) for k in range(0, max(0, len(c) - Q + 1), chunk)]
-    if not parts:
-        return []
-    best: dict[int, tuple[int, int]] = {}
-    for i, diagonal in regions(*(np.concatenate(x) for x in zip(*parts, strict=True)), index):
+    best = exact(c, index)
+    for i, diagonal in regions(*(np.concatenate(x) for x in zip(*parts, strict=True)), index) if parts else ():
         passage = index.items[i][1]
         e = budget(len(passage))
         lo, hi = max(0, diagonal - e), min(len(c), diagonal + 2 * (e + 1) + len(passage) + e)
         if (i in best and best[i][0] == 0) or (cost := aligned(passage, c[lo:hi], e)) is None:
             continue
         best[i] = min(best.get(i, (cost, max(0, diagonal))), (cost, max(0, diagonal)))
-    return [(index.items[i][0], cost, place) for i, (cost, place) in sorted(best.items())]
+    return [(index.items[i][0], cost, place, len(index.items[i][1])) for i, (cost, place) in sorted(best.items())]
 
 
 def blocks(benchmark: DataFrame, id_col: str, text_col: str):
-    """The benchmark's distinct long enough passages, streamed to the driver in blocks of bounded size."""
+    """The benchmark's distinct passages that have characters, streamed to the driver in blocks of bounded size."""
     given = benchmark.select(F.col(id_col).alias("i"), F.col(text_col).alias("t")).where("i is not null and t is not null").distinct().orderBy("i", "t")
     part, size = [], 0
     for r in given.toLocalIterator():
         t = normal(r["t"])
-        if len(t) >= MIN_CHARS:
+        if t:
             part.append((r["i"], t))
             size += len(t)
         if size >= BLOCK_CHARS:
@@ -152,9 +181,10 @@ def blocks(benchmark: DataFrame, id_col: str, text_col: str):
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text") -> DataFrame:
-    """(doc_id, item_id, edits, place): a row for each passage that a row of docs holds.
+    """(doc_id, item_id, edits, place, length): a row for each passage that a row of docs holds.
 
-    Whole texts; passages of MIN_CHARS characters or more, with up to EDIT_PERCENT edits. Null texts count as empty,
+    Whole texts; passages of any length, with up to EDIT_PERCENT edits where the lemma allows them and none below Q
+    characters. length, of the normalised passage, tells a leak from a phrase. Null texts count as empty,
     benchmark rows with nulls hold no passage. Repeated rows of docs give repeated results; other columns aren't
     read. One narrow pass over docs for every block of the benchmark; no shuffle.
     """
@@ -169,15 +199,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
             index = Index(sent.value)
             for batch in batches:
                 rows = [(d.as_py(), *f) for d, t in zip(batch.column(0), batch.column(1), strict=True) for f in find(t.as_py(), index)]
-                cols = list(zip(*rows, strict=True)) if rows else [[], [], [], []]
-                yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], item_type), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64())], ["doc_id", "item_id", "edits", "place"])
+                cols = list(zip(*rows, strict=True)) if rows else [[], [], [], [], []]
+                yield pa.RecordBatch.from_arrays([pa.array(cols[0], batch.schema.field(0).type), pa.array(cols[1], item_type), pa.array(cols[2], pa.int64()), pa.array(cols[3], pa.int64()), pa.array(cols[4], pa.int64())], ["doc_id", "item_id", "edits", "place", "length"])
 
         from pyspark.sql.pandas.types import to_arrow_type
 
         item_type = to_arrow_type(benchmark.schema[item_col].dataType)
-        part = given.mapInArrow(run, f"doc_id {kind}, item_id {ik}, edits long, place long")
+        part = given.mapInArrow(run, f"doc_id {kind}, item_id {ik}, edits long, place long, length long")
         out = part if out is None else out.unionByName(part)
-    return out if out is not None else spark.createDataFrame([], f"doc_id {kind}, item_id {ik}, edits long, place long")
+    return out if out is not None else spark.createDataFrame([], f"doc_id {kind}, item_id {ik}, edits long, place long, length long")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -102,6 +102,35 @@ def test_decontamination_against_alignment(spark):
     assert decontam.contaminated(docs(spark, texts), bench.limit(0)).count() == 0
 
 
+def test_decontamination_finds_short_items(spark):
+    items = ["What is the capital of France?", "Paris", "日本の首都はどこですか", "首都", "x", "Who wrote the novel Ulysses", "  ?! ", "seven77", "twelve chars"]
+    texts = ["so: what is the capital of france -- yes", "what is the capitol of france", "Comparison of parishes", "in PARIS.", "昔の日本の首都はどこですか。", "box xx", "x", "", None, "q who wrote the nowel ulysses q", "seven77", "seven777", "(twelve  chars)", "twelve  chers"]
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    rows = decontam.contaminated(docs(spark, texts), bench).collect()
+    want = {(0, 0): 0, (1, 0): 1, (3, 1): 0, (4, 2): 0, (4, 3): 0, (6, 4): 0, (9, 5): 1, (10, 7): 0, (12, 8): 0}
+    assert {(r["doc_id"], r["item_id"]): r["edits"] for r in rows} == want and len(rows) == len(want)
+    assert all(r["length"] == len(decontam.normal(items[r["item_id"]])) for r in rows)
+    assert {r["doc_id"]: r["place"] for r in rows if r["item_id"] == 3} == {4: 5}
+    assert sorted(r["doc_id"] for r in decontam.decontaminate(docs(spark, texts), bench).collect()) == [2, 5, 7, 8, 11, 13]
+
+
+def test_short_items_against_plain():
+    r = random.Random(5)
+    word = lambda: "".join(r.choice("abé首都日") for _ in range(r.randint(1, 4)))
+    items = [(i, decontam.normal(" ".join(word() for _ in range(r.randint(1, 2))))) for i in range(60)]
+    items = [x for x in items if len(x[1]) < decontam.Q]
+    index = decontam.Index(items)
+    n = 0
+    for _ in range(200):
+        text = " ".join(word() for _ in range(r.randint(0, 12)))
+        limit = lambda k: k in (0, len(text)) or any(x in " 首都日" for x in text[k - 1 : k + 1])  # noqa: B023, E731
+        want = [(i, 0, next((k for k in range(len(text)) if text.startswith(t, k) and limit(k) and limit(k + len(t))), None), len(t)) for i, t in items]
+        want = sorted(x for x in want if x[2] is not None)
+        assert sorted(decontam.find(text, index)) == want
+        n += len(want)
+    assert n > 100
+
+
 def test_html(spark):
     page = """<!doctype html><html><head><title>T</title><style>p{}</style></head><body><div id=header>Site</div><nav><ul><li><a href=/>Home</a></ul></nav>
     <div class="sidebar"><p>Side, text, that, has, commas, and is rather long, so it could win.</p></div><!-- <p>no</p> -->
