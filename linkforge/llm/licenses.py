@@ -32,10 +32,12 @@ FAMILIES = (
     ("ms-pl", "microsoft", "microsoft public", ""), ("ms-rl", "microsoft", "microsoft reciprocal", ""), ("osl", "osl", "osl", "1 0|2 0|3 0"), ("osl", "open", "open software", "1 0|2 0|3 0"), ("afl", "academic", "academic free", "2 1|3 0"), ("odbl", "database", "open (?:data commons open )?database", "1 0"), ("odc-by", "commons", "open data commons attribution", "1 0"),
     ("sspl", "server", "server side public", "1"), ("busl", "business", "business source", "1 1"), ("elastic", "elastic", "elastic", "2 0|2"), ("vim", "vim", "vim", ""), ("postgresql", "postgresql", "postgresql", ""), ("cecill", "cecill", "cecill", "1 0|2 0|2 1"), ("mulan", "mulan", "mulan (?:permissive software|psl)", "1|2"), ("upl", "universal", "universal permissive", "1 0"), ("ecl", "educational", "educational community", "1 0|2 0"),
 )
+#: Label and versions of names written as one word with their version (gplv3, lgplv2 1, apache2 0).
+GLUED = (("gpl", "123"), ("lgpl", "23"), ("agpl", "13"), ("mpl", "12"), ("epl", "12"), ("apache", "2"))
 #: Prefix, suffix (@: optional version), confidence and second keywords of the sentences that name a license.
 SENTENCES = (
-    ("(?:re)?licen[sc]ed under (?:the )?(?:terms of (?:the )?)?", "(?: licen[sc]e)?@", 0.95, ("under",)), ("released under (?:the )?(?:terms of (?:the )?)?", "(?: licen[sc]e)?@", 0.95, ("under",)), ("distributed under (?:the )?(?:terms of (?:the )?)?", "(?: licen[sc]e)?@", 0.9, ("under",)), ("available under (?:the )?", "(?: licen[sc]e)@", 0.85, ("under",)),
-    ("spdx licen[sc]e identifier ", "@", 1.0, ("spdx",)), ("", " licen[sc]e@", 0.7, ("license", "licence")),
+    ("(?:re)?licen[sc]ed under (?:the )?(?:terms of (?:the )?)?", "(?: licen[sc]e)?@", 0.95, ("under",)), ("released under (?:the )?(?:terms of (?:the )?)?", "(?: licen[sc]e)?@", 0.95, ("under",)), ("distributed under (?:the )?(?:terms of (?:the )?)?", "(?: licen[sc]e)?@", 0.9, ("under",)), ("available under (?:the )?", "@(?: licen[sc]e)@", 0.85, ("under",)),
+    ("spdx licen[sc]e identifier ", "@", 1.0, ("spdx",)), ("", "@ licen[sc]e@", 0.7, ("license", "licence")),
 )
 #: Creative Commons elements, and whole sentences of license texts (keyword, pattern, label, confidence).
 CC = ("by", "by sa", "by nc", "by nd", "by nc sa", "by nc nd")
@@ -54,6 +56,10 @@ def rules() -> list[tuple[str, tuple[str, ...], str, int, float, str]]:
     for (label, keyword, name, version), (prefix, suffix, sure, second) in product(FAMILIES, SENTENCES):
         tail = rf"(?: version)?(?: v?(?:{version}))?(?: or later| only)?" if version else ""
         out.append((keyword, second, prefix + name + suffix.replace("@", tail), sure, label))
+    for label, n, v in ((label, n, v) for label, known in GLUED for n in known for v in ("v", "")):
+        word, tail = f"{label}{v}{n}", "(?: [01])?(?: or later| only)?"
+        out.append((word, (word,), word + tail, 0.6, label))
+        out += [(word, second, prefix + word + tail + suffix.replace("@", ""), sure, label) for prefix, suffix, sure, second in SENTENCES]
     for (prefix, second), parts in product((("(?:licensed under )?(?:the )?(?:creative commons|cc)", ("by", "attribution")), ("spdx licen[sc]e identifier cc", ("spdx",))), CC):
         long = parts.replace("by", "(?:by|attribution)").replace("nc", "(?:nc|non ?commercial)").replace("nd", "(?:nd|no ?deriv(?:ative|atives|s))").replace("sa", "(?:sa|share ?alike)")
         out += [(k, second, f"{prefix} {long}(?: (?:1|2|2 5|3|4) ?0?)?(?: international)?", 0.9, "cc-" + parts.replace(" ", "-")) for k in ("cc", "commons")]

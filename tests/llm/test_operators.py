@@ -253,6 +253,15 @@ def test_license_gate_loses_no_match(spark):
     assert matched > 100
 
 
+def test_license_spellings(spark):
+    names = {"GPLv2": "gpl", "GPLv3": "gpl", "GPLv2+": "gpl", "GPL3": "gpl", "GPL v3": "gpl", "GPL-3.0": "gpl", "LGPLv2.1": "lgpl", "LGPLv3": "lgpl", "AGPLv3": "agpl", "AGPL3": "agpl", "MPLv2": "mpl", "MPLv2.0": "mpl", "MPL2": "mpl", "EPLv2": "epl", "Apache2.0": "apache", "Apachev2": "apache"}
+    forms = ("Licensed under {}", "released under the {} license.", "Distributed under the terms of the {} or later", "SPDX-License-Identifier: {}", "the {} licence", "This is available under the {} license")
+    cases = [(f.format(n), lab) for f in forms for n, lab in names.items()] + [(f"the code is {n}.", names[n]) for n in ("GPLv2", "GPLv3", "LGPLv2.1", "LGPLv3", "AGPLv3", "MPLv2")]
+    rows = {x["doc_id"]: x for x in licenses.scan(docs(spark, [t for t, _ in cases])).collect()}
+    for i, (text, label) in enumerate(cases):
+        assert rows[i]["labels"] == label and rows[i]["score"] > 0, text
+
+
 def near(a, b):
     return bin(a ^ b).count("1") <= 4
 
