@@ -2,7 +2,8 @@
 
 Ordinary words take few tokens of a byte-pair vocabulary; random strings take one for every two or three characters.
 Strings of letters, digits and a few signs that have letters, are long enough, and have few characters per token are
-reported, unless they are digests of a known length, UUIDs, numbers, or identifiers made of words.
+reported, unless they are digests of a known length, UUIDs, numbers, or identifiers made of words. Every step is linear
+in the text: patterns can't backtrack, identifiers are cut into pieces once, and tokens are counted window by window.
 """
 
 from __future__ import annotations
@@ -10,6 +11,8 @@ from __future__ import annotations
 import base64
 import hashlib
 import re
+from bisect import bisect_left
+from itertools import accumulate
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -30,9 +33,12 @@ WORDS = ("passw", "secret", "token", "key")
 CANDIDATE = re.compile(rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{MIN_CHARS},}}+(?:={{1,2}}(?![A-Za-z0-9+/_=-]))?")
 #: Digests and identifiers: whole-string forms that are no secrets by themselves.
 KNOWN = re.compile(r"(?:[0-9a-f]{32}|[0-9a-f]{40}|[0-9a-f]{56}|[0-9a-f]{64}|[0-9a-f]{96}|[0-9a-f]{128}|[0-9A-F]{32}|[0-9A-F]{40}|[0-9A-F]{64}|[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|sha(?:1|256|384|512)-[A-Za-z0-9+/]+=*|[\d_-]+)\Z")
-IDENTIFIER = re.compile(r"(?:[A-Z]?[a-z]+|[A-Z]+|\d{1,4})(?:[/_-]?(?:[A-Z]?[a-z]{2,}|[A-Z]{2,}|\d{1,4}(?=[/_-]|\Z)))*\Z")
+#: Pieces of an identifier: between separators, and where letters turn into digits or small ones into capitals.
+PIECE = re.compile(r"[A-Z]++(?![a-z])|[A-Z]?[a-z]++|[A-Z]+(?=[A-Z][a-z])|[0-9]++|[+=]")
 #: A single run of letters isn't made of words that can be told apart: its tokens decide.
 ONE_CASE = re.compile(r"(?:[a-z]+|[A-Z]+)\Z")
+#: Characters that are tokenised at once: byte-pair merging takes the square of a run's length.
+WINDOW = 256
 
 
 def read_vocabulary(path: str) -> dict[bytes, int]:
@@ -56,16 +62,35 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def identifier(s: str) -> bool:
+    """Whether a string is made of words: pieces of two letters or more (any first one), and of at most four digits that
+    end at a separator or with the string. One pass, which ends at the first piece that is no such word."""
+    for m in PIECE.finditer(s):
+        a, b = m.span()
+        if s[a] in "+=" or s[a].isdigit() and (b - a > 4 or b < len(s) and s[b] not in "/_-"):
+            return False
+        if s[a].isalpha() and a > 0 and b - a < (3 if s[a].isupper() and s[b - 1].islower() else 2):
+            return False
+    return True
+
+
+def n_tokens(s: str, encode) -> int:
+    """Tokens of the whole string, window by window: at most one more a window than at once."""
+    return sum(len(encode(s[k : k + WINDOW])) for k in range(0, len(s), WINDOW))
+
+
 def random_spans(text: str, known: list[tuple[int, int, int]], encode) -> list[tuple[int, int, int]]:
-    """Spans of strings with few characters per token; those that overlap a base span are left to it."""
+    """Spans of strings with few characters per token; those that overlap a base span (known, sorted) are left to it."""
     out = []
+    starts, ends = [a for a, _, _ in known], list(accumulate((b for _, _, b in known), max))
     for m in CANDIDATE.finditer(text):
         s = m[0]
-        if KNOWN.match(s) or IDENTIFIER.match(s) and not ONE_CASE.match(s) or not any(c.isalpha() for c in s):
+        if not any(map(str.isalpha, s)) or KNOWN.match(s) or not ONE_CASE.match(s) and identifier(s):
             continue
-        if any(a < m.end() and m.start() < b for a, _, b in known):
+        before = bisect_left(starts, m.end())
+        if before and ends[before - 1] > m.start():
             continue
-        if len(s) <= MAX_CHARS_PER_TOKEN * len(encode(s)):
+        if len(s) <= MAX_CHARS_PER_TOKEN * n_tokens(s, encode):
             out.append((m.start(), 3, m.end()))
     return out
 
@@ -77,8 +102,9 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", vocabulary: str = VOCABULARY) -> DataFrame:
     """One row for each row of df: id, n_assign, n_access, n_hex, base_sha256, spans (kind:start:end by start, then kind).
 
-    Whole texts; offsets in code points, ends exclusive. Null counts as empty: no spans, the digest of the empty
-    string. Narrow: no shuffle; the vocabulary, of bounded size, is broadcast. Other columns of df aren't read.
+    Whole texts of any length, in linear time; offsets in code points, ends exclusive. Null counts as empty: no spans,
+    the digest of the empty string. An empty table gives an empty result, repeated rows repeated results. Narrow: no
+    shuffle; the vocabulary, of bounded size, is broadcast. Other columns of df aren't read, so their names can't clash.
     """
     ranks = df.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
     kind = df.schema[id_col].dataType.simpleString()

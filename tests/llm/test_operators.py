@@ -1,6 +1,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 
 import numpy as np
@@ -225,6 +226,105 @@ def test_secrets_after_equals_and_of_letters(spark):
     assert [rows[len(texts) + i] for i in range(len(plain))] == [""] * len(plain)
 
 
+def encoder():
+    import tiktoken
+
+    return tiktoken.Encoding("t", pat_str=secrets.PRETOKENS, mergeable_ranks=secrets.read_vocabulary(secrets.VOCABULARY), special_tokens={}).encode_ordinary
+
+
+def plain_base(text):
+    """Base spans by the contract's words, character by character where a pattern is plain."""
+    out = []
+    assign = r"""(?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY])["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
+    at = 0
+    while m := re.compile(assign).search(text, at):
+        at = m.end()
+        if len(m[1]) >= 12:
+            out.append((m.start(), 0, m.end()))
+    runs = lambda ok, at: next((k for k in range(at, len(text)) if text[k] not in ok), len(text))
+    at = 0
+    while (at := text.find("AKIA", at)) >= 0:
+        end = runs("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", at + 4)
+        if end > at + 4:
+            if end - at >= 18:
+                out.append((at, 1, end))
+            at = end
+        else:
+            at += 1
+    at = 0
+    while at < len(text):
+        end = runs("0123456789abcdef", at)
+        if end - at >= 16:
+            out.append((at, 2, end))
+        at = max(end, at + 1)
+    return sorted(out)
+
+
+def plain_random(text, base, encode):
+    """Random spans: runs of token characters, each held against every base span and the rules in words."""
+    out, body = [], "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
+    at = 0
+    while at < len(text):
+        if text[at] not in body:
+            at += 1
+            continue
+        end = at
+        while end < len(text) and text[end] in body:
+            end += 1
+        pad = end
+        while pad < len(text) and text[pad] == "=":
+            pad += 1
+        stop = pad if 1 <= pad - end <= 2 and not (pad < len(text) and text[pad] in body) else end
+        s = text[at:stop]
+        if end - at >= 20 and any(c.isalpha() for c in s) and not any(a < stop and at < b for a, _, b in base):
+            words = re.findall(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[A-Z]+(?=[A-Z][a-z])|[0-9]+|[+=]", s)
+            places = [m.span() for m in re.finditer(r"[A-Z]+(?![a-z])|[A-Z]?[a-z]+|[A-Z]+(?=[A-Z][a-z])|[0-9]+|[+=]", s)]
+            named = all(w not in "+=" and (not w.isdigit() or len(w) <= 4 and (b == len(s) or s[b] in "/_-")) and (not w.isalpha() or a == 0 or len(w.lstrip("ABCDEFGHIJKLMNOPQRSTUVWXYZ") or w) >= 2) for w, (a, b) in zip(words, places, strict=True))
+            single = s.isalpha() and (s.islower() or s.isupper())
+            digest = (set(s) <= set("0123456789abcdef") and len(s) in (32, 40, 56, 64, 96, 128)) or (set(s) <= set("0123456789ABCDEF") and len(s) in (32, 40, 64)) or bool(re.fullmatch(r"[0-9A-Fa-f]{8}(-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}|sha(1|256|384|512)-[A-Za-z0-9+/]+=*", s))
+            if not digest and (single or not named) and len(s) <= 2.2 * sum(len(encode(s[k : k + 256])) for k in range(0, len(s), 256)):
+                out.append((at, 3, stop))
+        at = end
+    return out
+
+
+def test_secrets_against_plain():
+    r, encode = random.Random(9), encoder()
+    bits = ["token", "Secret", "api_key", "APIKEY", "passwd", ":", "=", " ", " ", "  ", '"', "'", "AKIA", "ABCD1234", "deadbeef", "0123456789abcdef", "value", "camelCase", "XMLHttpRequest", "2024", "/", "_", "-", "+", "é", "\n", "Zk3tR8vQ1mN6yP4wX0cD", "kQzXvBnMwLpRtYsDfGhJ", "q8Zt3LmW0x", "==", "documentation", "5f4dcc3b5aa765d61d8327deb882cf99"]
+    n = 0
+    for _ in range(3000):
+        text = "".join(r.choice(bits) for _ in range(r.randint(0, 25)))
+        base = secrets.base_spans(text)
+        assert base == plain_base(text), text
+        found = secrets.random_spans(text, base, encode)
+        assert found == plain_random(text, base, encode), text
+        n += len(found)
+    assert n > 300
+
+
+def test_secrets_are_linear():
+    """A megabyte of each sort of text that once made a pattern try all divisions of a string."""
+    r, encode, n = random.Random(1), encoder(), 1 << 20
+    b64 = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    texts = ["a" * n + "+", "documentation/configuration/administration/" * (n // 43), "some-long-slug-of-words-" * (n // 24), "".join(r.choice(b64) for _ in range(n)), "Ab" * (n // 2), "A" * n + "a", ("a" * 38 + "+ ") * (n // 40), ("token=" + "x9Kq" * 6 + " ") * (n // 31), "token   " * (n // 8)]
+    for text in texts:
+        at = time.process_time()
+        secrets.random_spans(text, secrets.base_spans(text), encode)
+        assert time.process_time() - at < 5, text[:40]
+
+
+def test_random_strings_and_identifiers():
+    """Recall on strings drawn at random, and false alarms on names made of words; figures are in the README."""
+    r, encode = random.Random(4), encoder()
+    digits, lower = "0123456789", "abcdefghijklmnopqrstuvwxyz"
+    for alphabet in (lower + lower.upper() + digits, lower, lower.upper() + digits, lower + lower.upper(), lower + lower.upper() + digits + "-_"):
+        made = ["".join(r.choice(alphabet) for _ in range(r.choice((20, 24, 32, 40)))) for _ in range(300)]
+        assert sum(bool(secrets.random_spans(f"x {s} y", [], encode)) for s in made) >= 290, alphabet
+    words = "user account report internal value config server network payment invoice customer address delivery status handler factory manager".split()
+    styles = ("_".join, "-".join, "/".join, lambda w: w[0] + "".join(map(str.title, w[1:])), lambda w: "_".join(w).upper(), "".join, lambda w: "-".join(w) + "-2024")
+    assert not any(secrets.random_spans(f(r.choices(words, k=5)), [], encode) for f in styles for _ in range(300))
+
+
 def test_licenses_against_plain(spark):
     texts = [*ODD, "Released under the MIT License. mit license", "GNU General Public License, version 3, Apache License", "Licensed under CC BY-NC 4.0.", "İmit license K license"]
     rows = {x["doc_id"]: x for x in licenses.scan(docs(spark, texts)).collect()}
