@@ -427,6 +427,54 @@ def test_near_duplicates_odd_rows(spark):
     assert simhash.near_duplicates(df.limit(0)).count() == 0 and simhash.deduplicate(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("page", [
+    "<div>" * 50_000 + "deep" + "</div>" * 50_000, "<ul><li>" * 20_000 + "x", "<ul>" + "<div>" * 10_000 + "<li>x" * 10_000, "<span>" * 20_000 + "</div>" * 20_000, "<div><table>" + "<span>" * 10_000 + "</div>" * 10_000, "<header>" * 20_000 + "x",
+    '<p title="x>t</p>' * 8_001, '<a ' * 100_000, '<a =">" ' * 50_000, "<a ='\">" * 50_000, "<!" * 100_000, "<!--" * 100_000, "</script " * 50_000, "<script></script " * 20_000, "<" * 300_000, "<p>" + " " * 300_000 + "x", '<p data-x="' + "a>" * 500_000 + '">text</p>', "<p class='" + "ad-x " * 50_000 + "'>t",
+])
+def test_html_is_linear(page):
+    at = time.process_time()
+    text = html_extract.main_text(page)
+    assert time.process_time() - at < 8
+    if "data-x" in page:
+        assert text == "text"
+    if "deep" in page:
+        assert text == "deep"
+
+
+def test_html_attributes_and_open_tags():
+    text = html_extract.main_text
+    assert text(f'<body><p data-x="a>{"b>" * 50_000}" data-y=\'class="sidebar"\'>kept</p>') == "kept"
+    assert text('<p title=it\'s>one</p><p title="two>2">two</p><p a"b>three</p>') == "one\n\ntwo\n\nthree"
+    assert text('<p>one</p><p title="never closed>two</p><p>three</p>').startswith("one")
+    assert text("<p>one<") == "one<" and text("a <3 b") == "a <3 b" and text("<p>one<div") == "one"
+    every = lambda page: "\n\n".join(html_extract.blocks([html_extract.tree(page)]))
+    assert every("<table><tr><td>a<td>b<tr><td>c</table><dl><dt>d<dd>e<dt>f</dl><ul><li>g<ul><li>h</ul><li>i</ul>") == "\n\n".join("abcdefghi")
+    assert every("<div><p>one<table><tr><td></div>two</td></tr></table>three</div>") == "one\n\ntwo\n\nthree"
+
+
+def test_html_keeps_every_block_of_the_article():
+    """Articles in wrappers of many names, with everything around and within them that is none of the article."""
+    r = random.Random(8)
+    word = lambda: r.choice("orion nova peak zen lake road hill dock gate main stone river".split())
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + ", " + " ".join(word() for _ in range(n)) + "."
+    wrappers = ["container has-sidebar", "content no-sidebar", "layout has-sidebar", "with-comments", "page", "site-content", "layout-header-fixed", "wrap", "row"]
+    for _ in range(300):
+        title, paragraphs = sentence(3), [sentence(r.randint(8, 30)) for _ in range(r.randint(3, 9))]
+        head = r.choice(["<header class=entry-header><h1>{}</h1></header>", "<div class=post-header><h1>{}</h1></div>", "<h1>{}</h1>", "<header><h2>{}</h2></header>", '<header class="header"><h1>{}</h1></header>']).format(title)
+        inner = [f"<p>{t}</p>" for t in paragraphs]
+        extra = ["<aside>Aside, with, commas.</aside>", "<form><p>Leave a note</p><input></form>", "<div class=share-buttons><a href=a>Share</a> <a href=b>Post</a></div>", "<script>var p='<p>x</p>'</script>", '<div class="ad">Buy, buy, buy.</div>', "<p hidden>No, no, no.</p>", "<nav><a href=x>next</a></nav>"]
+        for x in r.sample(extra, r.randint(0, 3)):
+            inner.insert(r.randint(0, len(inner)), x)
+        body = f"<article>{head}{''.join(inner)}</article>"
+        for name in r.sample(wrappers, r.randint(0, 3)):
+            body = f"<{(tag := r.choice(['div', 'section']))} {r.choice(['class', 'id'])}='{name}'>{body}{r.choice(['', '<div class=sidebar><p>Side, text, that, has, commas.</p></div>'])}</{tag}>"
+        if r.random() < 0.5:
+            body += "<div id=comments><div class=comment><p>" + sentence(6) + "</p></div></div>"
+        body = r.choice(["{}", "<main>{}</main>", "<form action=/ method=post><input type=hidden name=state>{}</form>"]).format(body)
+        page = f"<html><body><div id=header><h1>Site</h1></div><nav><ul><li><a href=/>Home</a><li><a href=/b>B</a></ul></nav>{body}<footer>&copy; Site, all, rights.</footer></body></html>"
+        assert html_extract.main_text(page) == "\n\n".join([title, *paragraphs]), page
+
+
 @pytest.mark.parametrize("name", ["container has-sidebar", "no-sidebar", "with-comments", "layout-header-fixed", "page sidebar", "side-by-side", "sidebar", "hasSidebar"])
 def test_html_layout_names_lose_no_article(name):
     text = [f"Paragraph {i}, of the article, is long enough, with commas, to be scored as text." for i in range(6)]
