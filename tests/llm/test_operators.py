@@ -342,7 +342,10 @@ def test_licenses_against_plain(spark):
 def test_license_gate_loses_no_match(spark):
     names = ("mit", "apache software foundation", "gnu general public", "gpl", "lgpl", "mozilla public", "simplified bsd", "freebsd", "unlicense", "python software foundation", "creative commons attribution share alike", "cc by nc", "psl mulan psl")
     forms = ("licensed under the {}", "relicenced under the terms of the {} license version 2 0 or later", "released under {}", "distributed under the {} licence", "available under the {} license", "spdx license identifier {}", "the {} licence v3 only", "{}")
-    whole = [p for _, p, _, _ in licenses.TEXTS if "(" not in p]
+    whole = [p for *_, p in (x.split(" ", 3) for x in licenses.SIGNATURES.strip().splitlines()) if not set(p) & set("([.?")]
+    for line in licenses.SIGNATURES.strip().splitlines():
+        _, _, keyword, pattern = line.split(" ", 3)
+        assert keyword in re.split(r"\W+", re.sub(r"\(\?:[^()]*\)\??", " ", pattern)), line
     matched = 0
     for text in [f.format(n) for f in forms for n in names] + whole:
         held = set(text.split())
@@ -353,6 +356,57 @@ def test_license_gate_loses_no_match(spark):
     assert matched > 100
 
 
+def plain_detections(text):
+    """Every rule at every word, all pairs compared: (label, first word, last word, confidence) of the kept matches."""
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+    words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(low))
+    found = set()
+    for k, second, pattern, priority, sure, label in licenses.rules():
+        if k in words and set(second) & set(words):
+            for i in range(len(words)):
+                if m := re.match(f"(?:{pattern})(?= |$)", " ".join(words[i : i + 70])):
+                    found.add((i, i + m[0].count(" ") + 1, priority, label, sure))
+
+    def lost(x):
+        for y in found:
+            if y[0] <= x[0] and x[1] <= y[1] and y != x:
+                longer = y[1] - y[0] > x[1] - x[0]
+                if longer and (y[2] >= x[2] or y[3] == x[3]) or not longer and y[2] > x[2]:
+                    return True
+        return False
+
+    return sorted((x[0], x[1], x[3], x[4]) for x in found if not lost(x))
+
+
+def test_license_suppression_against_plain(spark):
+    r = random.Random(6)
+    signs = [line.split(" ", 3)[3] for line in licenses.SIGNATURES.strip().splitlines()]
+    signs = [re.sub(r"\(\?:([^()|]*)[^()]*\)\??|\[(.)[^\]]*\]|(.)\?|\.\{1,\d+\}", lambda m: m[1] or m[2] or ("" if m[3] else "some holder"), x) for x in signs]
+    bits = ["licensed under", "released under the terms of the", "the", "GNU General Public License", "version 3", "or later", "GPLv3", "MIT", "MIT License", "Apache License", "2.0", "license", "mit", "SPDX-License-Identifier:", "CC BY-NC-SA 4.0", "lesser general public license", "and", "word", "größe", "all rights reserved", "BSD 3-clause", "boost software license"]
+    texts = [" ".join(r.choice(signs if r.random() < 0.2 else bits) for _ in range(r.randint(1, 60))) for _ in range(60)] + signs
+    rows = {x["doc_id"]: x for x in licenses.scan(docs(spark, texts)).collect()}
+    kept = lost = 0
+    for i, text in enumerate(texts):
+        want = plain_detections(text)
+        got = sorted((d["first_word"], d["last_word"], d["label"], d["confidence"]) for d in rows[i]["detections"])
+        assert got == want, text
+        kept += len(want)
+        lost += not want
+    assert kept > 500 and lost < 20
+    # Every signature's own text has a detection with its label, but where a longer rule of another label holds it.
+    assert sum(any(d["label"] == line.split(" ", 1)[0] for d in rows[60 + k]["detections"]) for k, line in enumerate(licenses.SIGNATURES.strip().splitlines())) > 175
+
+
+def test_licenses_are_linear(spark):
+    at = time.time()
+    line = "Licensed under the Apache License, Version 2.0, or the MIT License. "
+    texts = [line * 10_000, "mit license " * 40_000, "mit " * 200_000 + "license", "a" * 2_000_000, "x " * 500_000 + "GPLv3", "all rights reserved. " * 30_000]
+    rows = {x["doc_id"]: x for x in licenses.scan(docs(spark, texts)).select("doc_id", "labels", "n_base", F.size("detections").alias("n")).collect()}
+    assert time.time() - at < 90
+    assert rows[0]["n"] >= 20_000 and rows[0]["labels"] == "apache,mit" and rows[1]["n_base"] == 40_000 and rows[4]["labels"] == "gpl" and rows[5]["n"] == 30_000
+    assert licenses.scan(docs(spark, [])).count() == 0 and licenses.license_report(docs(spark, [])).count() == 0
+
+
 def test_license_spellings(spark):
     names = {"GPLv2": "gpl", "GPLv3": "gpl", "GPLv2+": "gpl", "GPL3": "gpl", "GPL v3": "gpl", "GPL-3.0": "gpl", "LGPLv2.1": "lgpl", "LGPLv3": "lgpl", "AGPLv3": "agpl", "AGPL3": "agpl", "MPLv2": "mpl", "MPLv2.0": "mpl", "MPL2": "mpl", "EPLv2": "epl", "Apache2.0": "apache", "Apachev2": "apache"}
     forms = ("Licensed under {}", "released under the {} license.", "Distributed under the terms of the {} or later", "SPDX-License-Identifier: {}", "the {} licence", "This is available under the {} license")
