@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from itertools import product
+from typing import NamedTuple
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -40,54 +43,128 @@ def identifier_pairs(recs: DataFrame) -> DataFrame:
     return same_key(recs, F.nullif("p", F.lit(""))).unionByName(same_key(recs, F.nullif("g", F.lit("")))).distinct()
 
 
+def phone_keys(t: Column) -> Column:
+    """Keys of a phone, of which two phones at one edit share one: phones that are equal or differ by a substitution agree
+    in all but one place, and one that lacks a character equals the other without it."""
+    places = F.sequence(F.lit(1), F.length(t))
+    without = lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t)))
+    key = lambda at, rest: F.struct(at.alias("at"), rest.alias("rest"))
+    return F.array_distinct(F.concat(F.array(key(F.lit(0), t)), F.transform(places, lambda i: key(i, without(i))), F.transform(places, lambda i: key(F.lit(0), without(i)))))
+
+
 def phone_pairs(recs: DataFrame) -> DataFrame:
     """Cross-source pairs (o1, o2) whose phones are given and at most one edit apart.
 
-    Found among distinct phones by an equi-join: phones that are equal or differ by a substitution agree in all but one
-    place, and one that lacks a character equals the other without it. Records join the phones that are left.
+    Found among distinct phones by an equi-join on their keys; records join the phones that are left.
     """
-    t = F.col("t")
-    places = F.sequence(F.lit(1), F.length(t))
-    without = lambda i: F.concat(F.substring(t, F.lit(1), i - 1), F.substring(t, i + 1, F.length(t)))
-    key = lambda at, rest: F.struct(at.alias("at"), rest.alias("rest"))
-    keys = F.concat(F.array(key(F.lit(0), t)), F.transform(places, lambda i: key(i, without(i))), F.transform(places, lambda i: key(F.lit(0), without(i))))
-    keyed = recs.where("t <> ''").select("t").distinct().select("t", F.explode(F.array_distinct(keys)).alias("k"))
+    keyed = recs.where("t <> ''").select("t").distinct().select("t", F.explode(phone_keys(F.col("t"))).alias("k"))
     a, b = (keyed.select("k", F.col("t").alias(f"t{i}")) for i in (1, 2))
     near = a.join(b, "k").where(F.levenshtein("t1", "t2", 1) >= 0).select("t1", "t2").distinct()
     x, y = (recs.select(F.col("t").alias(f"t{i}"), F.col("ord").alias(f"o{i}"), F.col("source").alias(f"s{i}")) for i in (1, 2))
     return near.join(x, "t1").join(y, "t2").where("s1 < s2").select("o1", "o2")
 
 
-def least_jaccard(model: Model) -> float:
-    """What the address must reach if identifier and pin code differ and all else agrees."""
-    rest = sum(model.weight_of(f) for f in ("name", "sector", "phone"))
-    return (model.review - rest - SLACK) / model.weight_of("address")
+def ranked_tokens(recs: DataFrame) -> DataFrame:
+    """recs with ws, the address tokens in one global order, rare ones first."""
+    words = recs.select("ord", F.explode("at").alias("w"))
+    rank = words.groupBy("w").agg(F.count("*").alias("df"))
+    ranked = words.join(rank, "w").groupBy("ord").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"))
+    return recs.join(ranked, "ord", "left")
 
 
-def address_pairs(recs: DataFrame, least: float) -> DataFrame:
-    """Cross-source pairs whose token Jaccard can be least (> 0) or more.
+def prefix(least: float) -> Column:
+    """Prefix filter: two token sets with a Jaccard of least (> 0) or more share one of the first n - ceil(least n) + 1
+    tokens of each, in any one order."""
+    n = F.size("at")
+    cut = (n - F.ceil(n * F.lit(least) - SLACK) + 1).cast("int")
+    return F.transform(F.slice("ws", 1, F.greatest(cut, F.lit(1))), lambda x: x["w"])
 
-    Prefix filter: with tokens in one global order, two such sets share one of the first n - ceil(least n) + 1 tokens
-    of each. Rare tokens come first, so frequent ones are seldom compared.
+
+def address_pairs(recs: DataFrame, least: float) -> DataFrame:
+    """Cross-source pairs (o1, o2, jaccard) with a token Jaccard of least (> 0) or more; addresses without tokens agree
+    with none here. Candidates come from the prefix filter, so frequent tokens are seldom compared."""
+    keyed = ranked_tokens(recs.select("ord", "source", "at").where(F.size("at") > 0)).select("ord", "source", "at", F.explode(prefix(least)).alias("k"))
+    found = same_key(keyed, F.col("k")).distinct()
+    a, b = (recs.select(F.col("ord").alias(f"o{i}"), F.col("at").alias(f"at{i}")) for i in (1, 2))
+    both = F.size(F.array_intersect("at1", "at2"))
+    jaccard = both.cast("double") / (F.size("at1") + F.size("at2") - both)
+    return found.join(a, "o1").join(b, "o2").select("o1", "o2", jaccard.alias("jaccard")).where(F.col("jaccard") >= least - SLACK)
+
+
+class Block(NamedTuple):
+    """One equi-join: keys of equal features (of z: pin code, s: sector, n: name), of phones at one edit, and of the
+    address: tokens (with the Jaccard it must reach), empty (both without tokens), or nothing of it."""
+
+    same: frozenset
+    phones: bool
+    address: str = ""
+    least: float = 0.0
+
+    def holds(self, other: Block) -> bool:
+        """Whether this block finds whatever the other one does."""
+        wider = self.same <= other.same and self.phones <= other.phones
+        return wider and (self.address == "" or self.address == other.address and self.least <= other.least)
+
+
+def blocks(model: Model) -> list[Block] | None:
+    """Blocks that together hold all pairs without an equal identifier that reach the review threshold; None if no key
+    can tell them.
+
+    For each choice of which of pin code, sector and phone agree, the rest of the score must come from name and
+    address: so the address must reach a Jaccard, or both are without tokens (which counts as 1) and the name must
+    reach a similarity. Where that is 1, the names are equal.
     """
-    words = recs.select("ord", "source", F.explode("at").alias("w"), F.size("at").alias("m"))
-    rank = words.groupBy("w").agg(F.count("*").alias("df"))
-    ranked = words.join(rank, "w").groupBy("ord", "source", "m").agg(F.sort_array(F.collect_list(F.struct("df", "w"))).alias("ws"))
-    cut = (F.col("m") - F.ceil(F.col("m") * F.lit(least) - SLACK) + 1).cast("int")
-    return same_key(ranked.select("ord", "source", F.explode(F.slice("ws", 1, F.greatest(cut, F.lit(1)))).alias("x")), F.col("x.w"))
+    w = model.weight_of
+    found: list[Block] = []
+    for pin, sector, phone in product((0, 1), repeat=3):
+        rest = model.review - pin * w("pinCode") - sector * w("sector") - phone * w("phone")
+        same = frozenset(["z"] * pin + ["s"] * sector)
+        if rest > w("name") + w("address") + SLACK:
+            continue  # not even with equal names and addresses
+        alone = rest <= w("name") - SLACK or rest <= w("name") + SLACK and w("address") <= 0
+        if alone or phone and pin:  # a name alone can do it, or phone and pin code are keys that tell more than tokens
+            found.append(Block(same, bool(phone)))
+            continue
+        if rest <= w("name") + SLACK:
+            found.append(Block(same | {"n"}, bool(phone)))  # an equal name alone, or any token in common
+        found.append(Block(same, False, "tokens", max((rest - w("name") - SLACK) / w("address"), SLACK)))
+        name = (rest - w("address") - SLACK) / w("name") if w("name") > 0 else 0.0
+        found.append(Block(same | ({"n"} if name > 1 - 1e-6 else set()), bool(phone), "empty"))
+    if any(not b.same and not b.phones and b.address == "" for b in found):
+        return None
+    found = list(dict.fromkeys(found))
+    return [b for b in found if not any(x != b and x.holds(b) and not (b.holds(x) and found.index(x) > found.index(b)) for x in found)]
+
+
+def block_keys(b: Block, tag: Column) -> Column:
+    """Hashes of a record's keys in a block, with the block's tag; none if a feature that must agree is missing."""
+    parts = [F.col(c) if c == "n" else F.lower(F.nullif(c, F.lit(""))) for c in sorted(b.same)]  # names may be empty and equal
+    told = F.lit(True)
+    for x in parts:
+        told = told & x.isNotNull()
+    if b.address == "empty":
+        parts.append(F.col("a") == "")
+        told = told & (F.size("at") == 0)
+    if b.address == "tokens":
+        keys = F.transform(prefix(b.least), lambda w: F.xxhash64(tag, *parts, w))
+    elif b.phones:
+        told = told & (F.col("t") != "")
+        keys = F.transform(phone_keys(F.col("t")), lambda k: F.xxhash64(tag, *parts, k["at"], k["rest"]))
+    else:
+        keys = F.array(F.xxhash64(tag, *parts))
+    return F.coalesce(F.when(told, keys), F.array().cast("array<bigint>"))
 
 
 def blocked(recs: DataFrame, model: Model) -> DataFrame:
     """Distinct pairs (o1, o2) that hold every pair with a score of the review threshold or more.
 
-    A pair without an equal identifier or pin code needs a token Jaccard that follows from the weights. If the
-    weights ask for none, no key helps and all cross-source pairs are candidates.
+    The identifiers and the blocks that follow from the model's weights are all keys of one equi-join. Keys are hashed:
+    a collision adds a candidate, and scores tell. If no key can tell such pairs, all cross-source pairs are candidates.
     """
-    least = least_jaccard(model)
-    if least <= 0 or model.weight_of("address") <= 0:
+    plan = blocks(model)
+    if plan is None:
         return theta(recs)
-    out = identifier_pairs(recs).unionByName(same_key(recs, F.lower(F.nullif("z", F.lit("")))))
-    if least <= 1:
-        empty = F.when(F.col("a") == "", "empty").when(F.size("at") == 0, "signs")
-        out = out.unionByName(address_pairs(recs, least)).unionByName(same_key(recs, empty))
-    return out.distinct()
+    ids = [Block(frozenset([c]), False) for c in "pg"]
+    ranked = ranked_tokens(recs.drop("rec"))
+    keys = F.array_distinct(F.concat(*(block_keys(b, F.lit(i)) for i, b in enumerate([*ids, *plan]))))
+    return same_key(ranked.select("ord", "source", F.explode(keys).alias("x")), F.col("x")).distinct()

@@ -42,7 +42,10 @@ def clustered(recs: DataFrame, pairs: DataFrame, model: Model, scratch: Scratch)
 
 
 def registry_rows(recs: DataFrame, comps: DataFrame, pairs: DataFrame, batch_id: str, linked_at: str) -> DataFrame:
-    """A row for each cluster and for each record without a link, members in the order of their sources and rows."""
+    """A row for each cluster and for each record without a link, members in the order of their sources and rows.
+
+    key is the row's place within its batch; the number of the batch's commit comes before it.
+    """
     one = F.struct("ord", "rec")
     members = recs.join(comps, "ord").groupBy("comp").agg(F.sort_array(F.collect_list(one)).alias("ms"))
     links = pairs.where("zone = 'AUTO_LINK'").select(F.col("ord1").alias("ord"), "ord2", "score", "evidence").join(comps, "ord")
@@ -54,7 +57,7 @@ def registry_rows(recs: DataFrame, comps: DataFrame, pairs: DataFrame, batch_id:
     many = F.size("ms") > 1
     return members.join(best, "comp", "left").select(
         ubid.alias("ubid"), F.coalesce(first(has("businessName"), get("businessName")), F.lit("Unknown")).alias("businessName"), F.array_distinct(F.transform("ms", get("source"))).alias("sources"), F.transform("ms", lambda m: m["rec"]).alias("records"),
-        F.when(many, F.coalesce("evidence", F.lit(""))).otherwise(ALONE).alias("evidence"), F.lit(linked_at).alias("linkedAt"), many.alias("autoLinked"), F.lit(None).cast("boolean").alias("humanVerified"), F.lit(None).cast("double").alias("score"), F.concat(F.lit(f"{batch_id}/"), F.col("comp")).alias("seq"),
+        F.when(many, F.coalesce("evidence", F.lit(""))).otherwise(ALONE).alias("evidence"), F.lit(linked_at).alias("linkedAt"), many.alias("autoLinked"), F.lit(None).cast("boolean").alias("humanVerified"), F.lit(None).cast("double").alias("score"), F.col("comp").alias("key"),
     )
 
 
@@ -65,15 +68,14 @@ def review_items(pairs: DataFrame, batch_id: str, created_at: str) -> DataFrame:
     return pairs.where("zone = 'REVIEW'").select(id_.alias("id"), F.col("rec1").alias("record1"), F.col("rec2").alias("record2"), F.round("score", 4).alias("score"), rounded.alias("features"), "evidence", F.lit(created_at).alias("createdAt"))
 
 
-def reviewed_rows(item: DataFrame, match: bool, linked_at: str) -> DataFrame:
-    """Registry rows of a decided item: one for a match (PAN of either record), else one for each record."""
+def reviewed_rows(decided: DataFrame, linked_at: str) -> DataFrame:
+    """Registry rows of decided items (with a column match): one for a match (PAN of either record), else one for each
+    record. A record's GSTIN gives no id here."""
     pan = lambda r: key_id(F.col(f"{r}.pan"))
-    lone = lambda r: F.coalesce(pan(r), name_uuid(F.concat(F.lit("review:"), F.col("id"), F.lit(f":{r}"))))
-    if match:
-        ubid = F.coalesce(pan("record1"), pan("record2"), name_uuid(F.concat(F.lit("review:"), F.col("id"))))
-        name, records, why, score = F.col("record1.businessName"), F.array("record1", "record2"), F.col("evidence"), F.col("score")
-        rows = item.select(ubid.alias("ubid"), name.alias("businessName"), records.alias("records"), why.alias("evidence"), score.alias("score"), F.concat(F.lit("review/"), F.col("id")).alias("seq"))
-    else:
-        each = item.select("id", F.explode(F.array(*(F.struct(lone(r).alias("ubid"), F.col(r).alias("r"), F.lit(r).alias("side")) for r in ("record1", "record2")))).alias("x"))
-        rows = each.select("x.ubid", F.col("x.r.businessName").alias("businessName"), F.array("x.r").alias("records"), F.lit(NOT_SAME).alias("evidence"), F.lit(None).cast("double").alias("score"), F.concat_ws("/", F.lit("review"), "id", "x.side").alias("seq"))
-    return rows.select("ubid", "businessName", F.transform("records", lambda r: r["source"]).alias("sources"), "records", "evidence", F.lit(linked_at).alias("linkedAt"), F.lit(False).alias("autoLinked"), F.lit(True).alias("humanVerified"), "score", "seq")
+    made = lambda *part: name_uuid(F.concat(F.lit("review:"), F.col("id"), *part))
+    row = lambda ubid, name, records, why, score, key: F.struct(ubid.alias("ubid"), name.alias("businessName"), records.alias("records"), why.alias("evidence"), score.alias("score"), key.alias("key"))
+    none = F.lit(None).cast("double")
+    one = row(F.coalesce(pan("record1"), pan("record2"), made()), F.col("record1.businessName"), F.array("record1", "record2"), F.col("evidence"), F.col("score"), F.col("id"))
+    each = [row(F.coalesce(pan(r), made(F.lit(f":{r}"))), F.col(f"{r}.businessName"), F.array(r), F.lit(NOT_SAME), none, F.concat("id", F.lit(f"/{r}"))) for r in ("record1", "record2")]
+    rows = decided.select(F.explode(F.when(F.col("match"), F.array(one)).otherwise(F.array(*each))).alias("x")).select("x.*")
+    return rows.select("ubid", "businessName", F.transform("records", lambda r: r["source"]).alias("sources"), "records", "evidence", F.lit(linked_at).alias("linkedAt"), F.lit(False).alias("autoLinked"), F.lit(True).alias("humanVerified"), "score", "key")

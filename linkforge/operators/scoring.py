@@ -42,16 +42,32 @@ def zone(model: Model) -> Column:
     return F.when(F.col("score") >= model.auto_link, "AUTO_LINK").when(F.col("score") >= model.review, "REVIEW").otherwise("SEPARATE")
 
 
-def scored(recs: DataFrame, pairs: DataFrame, model: Model, prune: bool = True) -> DataFrame:
-    """Pairs with features, score, zone and evidence.
+def with_names(pairs: DataFrame) -> DataFrame:
+    """pairs with name, the similarity of n1 and n2: computed once for each two different names."""
+    unequal = pairs.where("n1 <> n2").select("n1", "n2").distinct().withColumn("name", jaro_winkler(F.col("n1"), F.col("n2")))
+    return pairs.join(unequal, ["n1", "n2"], "left").withColumn("name", F.coalesce("name", F.lit(1.0)))
+
 
-    prune drops, before the one Python feature, pairs that can't reach the review threshold even with equal names.
+def scores(recs: DataFrame, pairs: DataFrame, model: Model, prune: bool = True) -> DataFrame:
+    """Pairs with features, score, zone and evidence, without the records.
+
+    prune drops, before names are compared, pairs that can't reach the review threshold even with equal names.
     """
-    out = cheap_features(joined(recs, pairs))
+    out = cheap_features(joined(recs.drop("rec"), pairs))
     if prune:
         out = out.where((F.col("identifier") == 1) | (weighted(model, ("name",)) + model.weight_of("name") >= model.review - SLACK))
-    out = out.withColumn("name", jaro_winkler(F.col("n1"), F.col("n2")))
-    sum_ = weighted(model)
-    out = out.withColumn("weighted", sum_).withColumn("score", F.when(F.col("identifier") == 1, F.greatest(F.lit(IDENTIFIER_FLOOR), "weighted")).otherwise(F.col("weighted")))
+    out = with_names(out).withColumn("weighted", weighted(model))
+    out = out.withColumn("score", F.when(F.col("identifier") == 1, F.greatest(F.lit(IDENTIFIER_FLOOR), "weighted")).otherwise(F.col("weighted")))
     features = F.struct(*(F.col(f) for f, _ in FEATURES)).alias("features")
-    return out.withColumn("zone", zone(model)).withColumn("evidence", evidence()).select("ord1", "ord2", "rec1", "rec2", features, "pan_match", "gstin_match", "weighted", "score", "zone", "evidence")
+    return out.withColumn("zone", zone(model)).withColumn("evidence", evidence()).select("ord1", "ord2", features, "pan_match", "gstin_match", "weighted", "score", "zone", "evidence")
+
+
+def with_records(recs: DataFrame, pairs: DataFrame) -> DataFrame:
+    """pairs with rec1 and rec2: for the few pairs that a zone has kept."""
+    a, b = (recs.select(F.col("ord").alias(f"ord{i}"), F.col("rec").alias(f"rec{i}")) for i in (1, 2))
+    return pairs.join(a, "ord1").join(b, "ord2")
+
+
+def scored(recs: DataFrame, pairs: DataFrame, model: Model, prune: bool = True) -> DataFrame:
+    """scores with the records."""
+    return with_records(recs, scores(recs, pairs, model, prune))

@@ -2,19 +2,29 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkforge.operators.model import MOST, Model
 from linkforge.plans.batch import STATES, Status
 from linkforge.schemas import FEATURES
+from linkforge.sources.store import json_lines
 
 #: The fields that reviewers see side by side.
 COMPARED = ("businessName", "pan", "gstin", "address", "pinCode", "sector", "phone", "registrationDate")
 
 
-def status_json(status: Status) -> dict:
-    return {"state": status.state, "step": status.step, "batchId": status.batch_id, "stats": status.stats, "progress": progress(status.state)}
+def status_json(status: Status) -> str:
+    """Double quotes in the step become single ones."""
+    counts = {k: status.stats.get(k, 0) for k in ("totalRecords", "autoLinked", "pendingReview", "registrySize")}
+    return json.dumps({"state": status.state, "step": status.step.replace('"', "'"), "batchId": status.batch_id, "lastUpdated": status.updated, "stats": counts}, separators=(",", ":"), ensure_ascii=False)
+
+
+def recent(log: DataFrame, n: int = 20) -> DataFrame:
+    """The newest n entries (at, message), newest first."""
+    return log.orderBy(F.col("at").desc(), F.col("message").desc()).limit(n)
 
 
 def progress(state: str) -> int:
@@ -23,8 +33,20 @@ def progress(state: str) -> int:
 
 
 def registry_tail(registry: DataFrame, n: int = 50) -> DataFrame:
-    """The last n rows in their order."""
-    return registry.orderBy(F.col("seq").desc()).limit(n).orderBy("seq")
+    """The last n rows in the order of their commits, and of their keys within one."""
+    return registry.orderBy(F.col("commit").desc(), F.col("key").desc()).limit(n).orderBy("commit", "key")
+
+
+def registry_lines(registry: DataFrame) -> DataFrame:
+    """One JSON text a row: null fields, which only reviewed rows fill, are left out."""
+    return json_lines(registry.drop("key", "commit", "batch_id"))
+
+
+def queue_lines(queue: DataFrame) -> DataFrame:
+    """One JSON text a row: numbers with four decimals, and nulls for what isn't decided."""
+    four = lambda c: F.col(c).cast("decimal(6,4)")
+    features = F.struct(*(four(f"features.{f}").alias(f) for f, _ in FEATURES)).alias("features")
+    return json_lines(queue.select("id", "record1", "record2", four("score").alias("score"), features, "evidence", "status", "decision", "reviewNote", "createdAt"), keep_nulls=True)
 
 
 def pending(queue: DataFrame) -> DataFrame:
@@ -54,6 +76,11 @@ def weight_bars(weights: DataFrame) -> DataFrame:
     return weights.select("name", F.round(F.col("weight") * 100).cast("long").alias("percent"), F.least(F.round(F.col("weight") / MOST * 100), F.lit(100.0)).cast("long").alias("width"))
 
 
+def most_weight(weights: DataFrame) -> DataFrame:
+    """The largest weight, one hundredth at least, that bars can be scaled by."""
+    return weights.agg(F.greatest(F.max("weight"), F.lit(0.01)).alias("weight"))
+
+
 def model_json(model: Model) -> str:
     return model.to_json()
 

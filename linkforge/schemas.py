@@ -10,7 +10,7 @@ FEATURES = (("identifier", "pan"), ("name", "name"), ("address", "address"), ("p
 FEATURE_STRUCT = T.StructType([T.StructField(f, T.DoubleType()) for f, _ in FEATURES])
 REGISTRY = T.StructType([
     T.StructField("ubid", T.StringType()), T.StructField("businessName", T.StringType()), T.StructField("sources", T.ArrayType(T.StringType())), T.StructField("records", T.ArrayType(RECORD)), T.StructField("evidence", T.StringType()),
-    T.StructField("linkedAt", T.StringType()), T.StructField("autoLinked", T.BooleanType()), T.StructField("humanVerified", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("seq", T.StringType()),
+    T.StructField("linkedAt", T.StringType()), T.StructField("autoLinked", T.BooleanType()), T.StructField("humanVerified", T.BooleanType()), T.StructField("score", T.DoubleType()), T.StructField("key", T.StringType()),
 ])
 REVIEW_ITEM = T.StructType([
     T.StructField("id", T.StringType()), T.StructField("record1", RECORD), T.StructField("record2", RECORD), T.StructField("score", T.DoubleType()), T.StructField("features", FEATURE_STRUCT), T.StructField("evidence", T.StringType()), T.StructField("createdAt", T.StringType()),

@@ -2,39 +2,47 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
-import shutil
-from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from linkforge.files import Files, Found
 from linkforge.functions.text import trim
 from linkforge.schemas import FIELDS
 
 #: Names of feeds and of the marker that completes a batch.
 FEED, MARKER = re.compile(r"dept_(.*)\.csv"), "confirmation.txt"
-COLUMNS = 10
+#: A field of a line: plain characters, and quoted runs that end at a quote or with the line; "" stands for a quote there.
+QUOTED = r'"((?:[^"]++|"")*+)(?:"|$)'
+FIELD = r',((?:[^",]++|"(?:[^"]++|"")*+(?:"|$))*+)'
 
 
-def manifest(folder: str | Path) -> list[str]:
+def manifest(files: Files, folder: str) -> list[Found]:
     """Feeds in the order of their names; none if the folder is missing."""
-    at = Path(folder)
-    return sorted(str(p) for p in at.iterdir() if FEED.fullmatch(p.name)) if at.is_dir() else []
+    return [f for f in files.ls(folder) if FEED.fullmatch(f.name)]
 
 
-def ready(folder: str | Path) -> bool:
+def ready(files: Files, folder: str) -> bool:
     """Two feeds or more, and the marker; its content doesn't matter."""
-    return len(manifest(folder)) >= 2 and (Path(folder) / MARKER).exists()
+    return len(manifest(files, folder)) >= 2 and files.exists(f"{folder}/{MARKER}")
+
+
+def batch_id(found: list[Found]) -> str:
+    """The same for the same files, however often a batch is tried: newest time, and a digest of names, sizes and times."""
+    told = "\n".join(f"{f.name}\t{f.size}\t{f.time}" for f in found)
+    return f"batch-{max(f.time for f in found)}-{hashlib.sha1(told.encode()).hexdigest()[:8]}"
 
 
 def fields(line: Column) -> Column:
     """Values of one line: commas outside quotes divide, a quote anywhere toggles, two inside quotes are one.
 
-    A doubled quote becomes a mark first. Then every second piece between quotes is quoted, where commas are plain.
+    Fields are cut out by one pattern that never backtracks. In a field, a quoted run loses its quotes; what quotes are
+    left stand in pairs.
     """
-    quoted = F.transform(F.split(F.replace(line, F.lit('""'), F.lit("\x01")), '"'), lambda x, i: F.when(i % 2 == 1, F.replace(x, F.lit(","), F.lit("\x02"))).otherwise(F.replace(x, F.lit("\x01"), F.lit(""))))
-    return F.transform(F.split(F.array_join(quoted, ""), ","), lambda x: trim(F.translate(x, "\x01\x02", '",')))
+    found = F.regexp_extract_all(F.concat(F.lit(","), line), F.lit(FIELD), F.lit(1))
+    return F.transform(found, lambda x: trim(F.replace(F.regexp_replace(x, QUOTED, "$1"), F.lit('""'), F.lit('"'))))
 
 
 def read_feeds(spark: SparkSession, paths: list[str], date_index: int = 9) -> DataFrame:
@@ -45,7 +53,7 @@ def read_feeds(spark: SparkSession, paths: list[str], date_index: int = 9) -> Da
     """
     lines = spark.read.text(paths).select("value", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("at"), F.monotonically_increasing_id().alias("id"))
     first = lines.groupBy("file").agg(F.min(F.struct("at", "id")).alias("head"))
-    lines = lines.join(F.broadcast(first), "file").where("not (at = head.at and id = head.id) and " + "length(trim(value)) > 0")
+    lines = lines.join(F.broadcast(first), "file").where("not (at = head.at and id = head.id)")  # a row for each feed
     lines = lines.withColumn("line", trim(F.col("value"))).where("line <> ''")
     cells = lines.select("file", "at", "id", fields(F.col("line")).alias("f"))
     cell = lambda i: F.coalesce(F.get("f", F.lit(i)), F.lit(""))
@@ -55,9 +63,9 @@ def read_feeds(spark: SparkSession, paths: list[str], date_index: int = 9) -> Da
     return cells.select(ord_.alias("ord"), source.alias("source"), *(cell(i).alias(n) for i, n in zip(index, FIELDS, strict=True)))
 
 
-def archive(folder: str | Path, files: list[str], to: str | Path) -> None:
-    """Moves the files of a batch's manifest and the marker; files that came later stay."""
-    Path(to).mkdir(parents=True, exist_ok=True)
-    for f in [*files, str(Path(folder) / MARKER)]:
-        if Path(f).exists():
-            shutil.move(f, Path(to) / Path(f).name)
+def archive(files: Files, folder: str, found: list[Found], to: str) -> None:
+    """Moves the files of a batch's manifest, then the marker; files that came later stay."""
+    for f in found:
+        files.move(f.path, to)
+    if files.exists(f"{folder}/{MARKER}"):
+        files.move(f"{folder}/{MARKER}", to)

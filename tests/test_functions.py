@@ -1,3 +1,4 @@
+import random
 import uuid
 from hashlib import md5
 
@@ -29,6 +30,14 @@ def test_jaro_winkler(a, b, want):
     assert similarity.jaro_winkler_of(a, b) == pytest.approx(want, abs=1e-6)
 
 
+def test_jaro_winkler_batches(spark):
+    r = random.Random(2)
+    word = lambda: "".join(r.choice("abc dé") for _ in range(r.choice((0, 1, 3, 8, 20, 70))))
+    pairs = [(word(), word()) for _ in range(1500)] + [("abcdef", "bcadef"), ("a\0b", "a\0c"), (None, None), (None, "a")]
+    got = spark.createDataFrame(pairs, "a string, b string").select("a", "b", similarity.jaro_winkler(F.col("a"), F.col("b")).alias("x")).collect()
+    assert all(x["x"] == similarity.jaro_winkler_of(x["a"] or "", x["b"] or "") for x in got)
+
+
 def test_half_transpositions_count():
     jaro = similarity.jaro_winkler_of("abcdef", "bcadef")
     assert jaro == pytest.approx(0.91667, abs=1e-5)
