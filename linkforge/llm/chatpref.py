@@ -46,7 +46,8 @@ def preference_pairs(turns: DataFrame, pair: Column, chosen: Column) -> DataFram
     several the ids' smallest is named). Turns are put in the order of turn, role and text (null turns first); equal
     rows count once. Null roles and texts count as empty. Rows with a null pair or side belong to no pair. A pair
     that lacks a side has an empty prompt and null for that side; if both sides are equal, the prompt is all and both
-    completions are empty. One shuffle, on the pair; equal rows are merged before it.
+    completions are empty. An empty table gives an empty result; other columns of turns aren't read. One shuffle, on the
+    pair; equal rows are merged before it.
     """
     one = F.struct(F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     given = turns.select(pair.alias("pair_id"), chosen.alias("is_chosen"), F.col("conv_id"), one.alias("one")).where("pair_id is not null and is_chosen is not null")
@@ -65,14 +66,14 @@ def preference_pairs(turns: DataFrame, pair: Column, chosen: Column) -> DataFram
 
 
 def neighbours(turns: DataFrame) -> DataFrame:
-    """The pairs of the query: conversation 2 k is chosen over conversation 2 k + 1."""
-    return preference_pairs(turns, F.floor(F.col("conv_id") / 2), F.pmod("conv_id", F.lit(2)) == 0)
+    """The pairs of the query: conversation 2 k is chosen over conversation 2 k + 1, whole numbers of any size and sign."""
+    return preference_pairs(turns, F.shiftright(F.col("conv_id").cast("long"), 1), F.col("conv_id").cast("long").bitwiseAND(F.lit(1)) == 0)
 
 
 ORACLE_SQL = """
-WITH d AS (SELECT DISTINCT CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id, conv_id % 2 = 0 AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
+WITH d AS (SELECT DISTINCT CAST(conv_id AS BIGINT) >> 1 AS pair_id, conv_id % 2 = 0 AS c, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations WHERE conv_id IS NOT NULL),
 i AS (SELECT pair_id, min(conv_id) FILTER (conv_id % 2 = 0) AS chosen_id, min(conv_id) FILTER (conv_id % 2 <> 0) AS rejected_id
-      FROM (SELECT conv_id, CAST(floor(conv_id / 2.0) AS BIGINT) AS pair_id FROM conversations WHERE conv_id IS NOT NULL) GROUP BY pair_id),
+      FROM (SELECT conv_id, CAST(conv_id AS BIGINT) >> 1 AS pair_id FROM conversations WHERE conv_id IS NOT NULL) GROUP BY pair_id),
 t AS (SELECT *, row_number() OVER (PARTITION BY pair_id, c ORDER BY turn NULLS FIRST, role, text) AS i,
              '<|' || role || '|>' || chr(10) AS h, replace(text, '<|', '< |') || '<|end|>' || chr(10) AS b FROM d),
 m AS (SELECT pair_id, coalesce(a.i, b.i) AS i, coalesce(a.role = b.role AND a.text = b.text, false) AS same
