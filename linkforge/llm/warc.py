@@ -1,6 +1,7 @@
 """WARC archives: written with an index, read back by coalesced byte ranges.
 
-Archives are gzip WARC/1.1, one member a record, below the shared folder, through whatever file system its URI names.
+Archives are gzip WARC/1.1, one member a record, below the shared folder, through the file system that its URI names
+(those that Arrow knows: file, hdfs, viewfs, s3 and s3a, gs, abfs and abfss; any other raises an error).
 A task writes archives under random names and returns the index rows (path, offset, length, url, digest, ...). The
 index is then written as Parquet: it is the commit record. Archives of failed or repeated attempts are in no index and
 are never read.
@@ -28,6 +29,7 @@ DATE = "2000-01-01T00:00:00Z"
 
 
 def opened(uri: str) -> tuple[fs.FileSystem, str]:
+    uri = re.sub(r"^s3[an]:", "s3:", uri)
     return fs.FileSystem.from_uri(uri if re.match(r"\w+:", uri) else f"file://{uri}")
 
 
@@ -122,15 +124,17 @@ def write(df: DataFrame, scratch: Scratch, min_revisit: int = 1000, roll_bytes:
     return scratch.keep(todo.mapInArrow(put, INDEX.format(id=kind)), "index")
 
 
-def read(index: DataFrame, gap: int = 64 << 10, most: int = 4 << 20) -> DataFrame:
+def read(index: DataFrame, gap: int = 64 << 10, most: int = 4 << 20, task_bytes: int = 512 << 20) -> DataFrame:
     """The records that index selects: page_id, url, record_type, refers_to, payload_bytes, payload_digest, payload (null: revisit).
 
     Ranges are sorted by archive and offset; those at most gap bytes apart are read at once, up to about most bytes.
-    Only one such range is held at a time.
+    Only one such range is held at a time. Archives are dealt to as many tasks as their selected bytes fill, but to one
+    for every core if there are that many: a number that grows with the bytes, not with the archives.
     """
     kind = index.schema["page_id"].dataType.simpleString()
-    archives = index.select("path").distinct().count()  # a number given keeps the small index rows, which stand for large reads, apart
-    ordered = index.select("page_id", "path", "offset", "length").repartition(max(1, archives), "path").sortWithinPartitions("path", "offset")
+    told = index.agg(F.countDistinct("path").alias("archives"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes")).first()
+    tasks = max(1, min(told["archives"], max(told["bytes"] // task_bytes, 2 * index.sparkSession.sparkContext.defaultParallelism)))
+    ordered = index.select("page_id", "path", "offset", "length").repartition(tasks, "path").sortWithinPartitions("path", "offset")
 
     def get(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict = {}
@@ -182,3 +186,11 @@ def round_trip(pages: DataFrame) -> DataFrame:
     scratch = Scratch(pages.sparkSession, "warc")
     index = write(pages.select("page_id", "url", "html"), scratch)
     return read(index).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
+ORACLE_SQL = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS h FROM pages),
+q AS (SELECT page_id, CAST(strlen(h) AS BIGINT) AS payload_bytes, sha1(h) AS payload_digest, CASE WHEN strlen(h) >= 1000 THEN max(page_id) OVER (PARTITION BY h) END AS top FROM p)
+SELECT page_id, payload_bytes, payload_digest, CASE WHEN top IS NOT NULL AND page_id IS DISTINCT FROM top THEN 'revisit' ELSE 'response' END AS record_type,
+       CASE WHEN page_id IS DISTINCT FROM top THEN top END AS refers_to FROM q
+"""
