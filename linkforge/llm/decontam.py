@@ -135,15 +135,32 @@ def regions(at: np.ndarray, item: np.ndarray, place: np.ndarray, index: Index) -
     return out
 
 
-def aligned(passage: np.ndarray, part: np.ndarray, most: int) -> int | None:
-    """The fewest edits that turn passage into any run of part, if most or fewer; the runs' ends cost nothing."""
-    row = np.zeros(len(part) + 1, np.int32)
-    steps = np.arange(len(part) + 1, dtype=np.int32)
-    for i, c in enumerate(passage, 1):
-        new = np.empty_like(row)
-        new[0] = i
-        new[1:] = np.minimum(row[:-1] + (part != c), row[1:] + 1)
-        row = np.minimum.accumulate(new - steps) + steps
+def aligned(passage: np.ndarray, text: np.ndarray, first: int, last: int, most: int) -> int | None:
+    """The fewest edits that turn passage into any run of text, if most or fewer, over the diagonals from first to last
+    alone; the runs' ends cost nothing.
+
+    A row holds the costs of one place of the passage on every diagonal: a character kept or replaced stays on its
+    diagonal, one left out of the passage comes from the next, one put in from the one before.
+    """
+    width, far = last - first + 1, np.int32(1 << 20)
+    at = np.arange(first, last + 1)
+    row = np.where((at >= 0) & (at <= len(text)), 0, far).astype(np.int32)
+    steps = np.arange(width, dtype=np.int32)
+    m = len(passage)
+    # What the band sees of the text, with a sign of its own where it ends.
+    seen = np.full(m + width, -1, np.int64)
+    lo, hi = max(first, 0), min(first + m + width, len(text))
+    if hi > lo:
+        seen[lo - first : hi - first] = text[lo:hi]
+    for i, c in enumerate(passage.tolist(), 1):
+        part = seen[i - 1 : i - 1 + width]
+        new = row + (part != c)
+        new[part < 0] = far
+        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
+        new = np.minimum.accumulate(new - steps) + steps
+        outside = (first + i + steps < 0) | (first + i + steps > len(text))
+        new[outside] = far
+        row = new.astype(np.int32)
         if row.min() > most:
             return None
     return int(row.min())
@@ -157,8 +174,7 @@ def find(text: str | None, index: Index, chunk: int = 1 << 20) -> list[tuple[int
     for i, diagonal in regions(*(np.concatenate(x) for x in zip(*parts, strict=True)), index) if parts else ():
         passage = index.items[i][1]
         e = budget(len(passage))
-        lo, hi = max(0, diagonal - e), min(len(c), diagonal + 2 * (e + 1) + len(passage) + e)
-        if (i in best and best[i][0] == 0) or (cost := aligned(passage, c[lo:hi], e)) is None:
+        if (i in best and best[i][0] == 0) or (cost := aligned(passage, c, diagonal - e, diagonal + 2 * (e + 1) + e, e)) is None:
             continue
         best[i] = min(best.get(i, (cost, max(0, diagonal))), (cost, max(0, diagonal)))
     return [(index.items[i][0], cost, place, len(index.items[i][1])) for i, (cost, place) in sorted(best.items())]
@@ -184,7 +200,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     """(doc_id, item_id, edits, place, length): a row for each passage that a row of docs holds.
 
     Whole texts; passages of any length, with up to EDIT_PERCENT edits where the lemma allows them and none below Q
-    characters. length, of the normalised passage, tells a leak from a phrase. Null texts count as empty,
+    characters. length, of the normalised passage, tells a leak from a phrase. Texts of any length are searched in
+    pieces that overlap; null texts count as empty, an empty table on either side gives an empty result,
     benchmark rows with nulls hold no passage. Repeated rows of docs give repeated results; other columns aren't
     read. One narrow pass over docs for every block of the benchmark; no shuffle.
     """
