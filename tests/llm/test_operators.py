@@ -537,3 +537,39 @@ def test_html_layout_names_lose_no_article(name):
     want = "\n\n".join(text)
     assert html_extract.main_text(f"<body><div class='{name}'><article>{inner}</article>{side}</div></body>") == want
     assert html_extract.main_text(f"<body><p>Menu</p><div id='{name}'>{inner}</div></body>").endswith(want)
+
+
+@pytest.mark.parametrize("name", ["op2_warc", "op5_quality_rules", "op6_chat_preference"])
+def test_query_equals_sql(spark, name):
+    import duckdb
+
+    from linkforge.llm import queries
+
+    sf, con = "/root/testdata/sf0.001", duckdb.connect()
+    for t in ("documents", "pages", "conversations"):
+        con.sql(f"CREATE VIEW {t} AS SELECT * FROM '{sf}/{t}.parquet'")
+    want = con.sql(queries.oracle_sql()[name])
+    cols = sorted(want.columns)
+    got = queries.queries()[name](spark, sf)
+    assert sorted(got.columns) == cols
+    place = [want.columns.index(c) for c in cols]
+    assert sorted(str([r[c] for c in cols]) for r in got.collect()) == sorted(str([r[i] for i in place]) for r in want.fetchall())
+
+
+def test_preference_ids_of_any_size(spark):
+    ids = [2**53, 2**53 + 1, 2**53 + 2, 2**53 + 3, -1, -2, 2**63 - 1]
+    rows = chatpref.neighbours(spark.createDataFrame([(i, 0, "user", "x") for i in ids], "conv_id long, turn long, role string, text string")).collect()
+    assert {(r["pair_id"], r["chosen_id"], r["rejected_id"]) for r in rows} == {(2**52, 2**53, 2**53 + 1), (2**52 + 1, 2**53 + 2, 2**53 + 3), (-1, -2, -1), (2**62 - 1, None, 2**63 - 1)}
+    assert chatpref.neighbours(spark.createDataFrame([], "conv_id long, turn long, role string, text string")).count() == 0
+
+
+def test_quality_cleans_lines(spark):
+    body = "\n".join(f"The w{i} a{i} b{i} c{i} d{i} e{i}." for i in range(12))
+    texts = [f"Home | About | News\n{body}\n\nAlle Rechte vorbehalten.\nRead more.\nLire la suite.\nno end", body, None, ""]
+    df = docs(spark, texts).withColumnRenamed("shard", "quality").withColumnRenamed("fp", "__t")
+    out = {r["doc_id"]: r for r in quality.keep_good(df, clean=True).collect()}
+    assert set(out) == {0, 1} and out[0]["text"] == body == out[1]["text"] and out[0]["quality"] == "x" and out[0]["__t"] == "y"
+    assert {r["doc_id"]: r["text"] for r in quality.keep_good(df).collect()} == {0: texts[0], 1: body}
+    rows = {r["doc_id"]: r for r in quality.quality_report(df).collect()}
+    assert rows[0]["clean_md5"] == hashlib.md5(body.encode()).hexdigest() and rows[0]["n_failed_lines"] == 5 and rows[0]["kept_chars"] == len(body.replace("\n", ""))
+    assert quality.quality_report(df.limit(0)).count() == 0 and quality.keep_good(df.limit(0)).count() == 0
