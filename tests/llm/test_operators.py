@@ -179,12 +179,83 @@ def test_preference_pairs(spark):
     assert (rows[2]["n_prompt_turns"], rows[2]["chosen"], rows[2]["rejected"]) == (1, "", "") and len(rows) == 3
 
 
-def test_budgets():
+def plain_budgets(budget, tokens, weights, epochs):
+    """Budgets by filling up token shares round by round, in whole numbers."""
+
+    def share(left, room, weight):
+        out, alive = dict.fromkeys(room, 0), {k for k in room if room[k] > 0 and weight[k] > 0}
+        while alive and left > 0:
+            total = sum(weight[k] for k in alive)
+            full = {k for k in alive if room[k] * total <= left * weight[k]}
+            if not full:
+                part = {k: left * weight[k] // total for k in alive}
+                over = left - sum(part.values())
+                return out | {k: part[k] + (i < over) for i, k in enumerate(sorted(alive))}
+            out |= {k: room[k] for k in full}
+            alive, left = alive - full, left - sum(room[k] for k in full)
+        return out
+
+    def down(budget, paths, depth):
+        if depth == 3:
+            return {paths[0]: budget}
+        kids = {}
+        for p in paths:
+            kids.setdefault(p[depth], []).append(p)
+        given = share(budget, {k: epochs * sum(tokens[p] for p in v) for k, v in kids.items()}, {k: weights.get(mixing.LEVELS[depth], {}).get(k, 1) for k in kids})
+        return {p: x for k, v in kids.items() for p, x in down(given[k], v, depth + 1).items()}
+
+    return down(budget, list(tokens), 0)
+
+
+def test_budgets_against_plain(spark):
+    r = random.Random(12)
+
+    def tables(budget, tokens, weights, epochs):
+        df = spark.createDataFrame([("\x1f".join(p), t) for p, t in tokens.items()], "leaf string, t long")
+        return {tuple(x["leaf"].split("\x1f")): x["b"] for x in mixing.budgets(df, budget, weights, epochs).collect()}
+
     tokens = {("a", "x", "1"): 10, ("a", "x", "2"): 100, ("a", "y", "3"): 5, ("b", "x", "4"): 1000}
-    got = mixing.budgets(200, tokens, {}, 1)
-    assert got == {("a", "x", "1"): 10, ("a", "x", "2"): 85, ("a", "y", "3"): 5, ("b", "x", "4"): 100}
-    assert sum(mixing.budgets(10**6, tokens, {}, 2).values()) == 2 * sum(tokens.values())
-    assert mixing.budgets(0, tokens, {}, 1) == dict.fromkeys(tokens, 0)
+    assert tables(200, tokens, {}, 1) == plain_budgets(200, tokens, {}, 1) == {("a", "x", "1"): 10, ("a", "x", "2"): 85, ("a", "y", "3"): 5, ("b", "x", "4"): 100}
+    assert sum(tables(10**6, tokens, {}, 2).values()) == 2 * sum(tokens.values()) and tables(0, tokens, {}, 1) == dict.fromkeys(tokens, 0)
+    for _ in range(5):
+        tokens = {(r.choice("abc"), r.choice(["en", "de", "fr", "\x00"]), f"s{i}"): r.choice([0, 1, 7, r.randint(0, 50), 10**13]) for i in range(r.randint(1, 60))}
+        weights = r.choice([{}, {"lang": mixing.LANG_WEIGHTS}, {"domain": {"a": 7, "b": 0, "c": 3}, "source": {"s1": 2, "s3": 5}}])
+        budget, epochs = r.choice([0, 1, 13, 1000, 10**12, sum(tokens.values()) // 2, sum(tokens.values()) * 9]), r.choice([1, 4])
+        assert tables(budget, tokens, weights, epochs) == plain_budgets(budget, tokens, weights, epochs), (budget, tokens, weights, epochs)
+
+
+def test_mix_of_many_leaves(spark):
+    """More leaves than a driver should hold, as a table."""
+    df = spark.range(150_000).select(F.concat(F.lit("d\x1fen\x1fs"), "id").alias("leaf"), (F.col("id") % 7).alias("t"))
+    total = sum(i % 7 for i in range(150_000))
+    row = mixing.budgets(df, total // 2, {}, 1).agg(F.sum("b"), F.count("*"), F.max(F.col("b") - F.col("t"))).first()
+    assert row[0] == total // 2 and row[1] == 150_000 and row[2] <= 0
+
+
+def test_mix_against_plain(spark):
+    """Every leaf's whole epochs, then the prefix of its seeded order, document by document."""
+    r = random.Random(13)
+    rows = [(i, " ".join(["w"] * r.choice((0, 1, 5, 30))) if r.random() < 0.95 else None, r.choice(["en", "de", None]), r.choice(["src1", "src2", "x", None]), 0) for i in range(400)]
+    df = spark.createDataFrame(rows + rows[:5], "doc_id long, text string, lang string, source string, n_chars long")
+    keyed = df.select("doc_id", "text", mixing.leaf_of(mixing.source_domain(F.col("source"))).alias("leaf"), *(F.xxhash64(F.lit(42), F.lit(e).cast("long"), "doc_id", F.xxhash64("text")).alias(f"k{e}") for e in range(5))).collect()
+    for ratio, epochs in ((0.2, 4), (1.0, 4), (2.5, 4), (0.7, 1)):
+        members, want = {}, []
+        for x in keyed:
+            members.setdefault(x["leaf"], []).append((x["doc_id"], len((x["text"] or "").split()), x))
+        size = {tuple(k.split("\x1f")): sum(n for _, n, _ in v) for k, v in members.items()}
+        for leaf, budget in plain_budgets(int(ratio * sum(size.values())), size, {"lang": mixing.LANG_WEIGHTS}, epochs).items():
+            group = members["\x1f".join(leaf)]
+            whole, left = divmod(budget, size[leaf]) if size[leaf] else (1, 0)
+            taken, run = set(), 0
+            order = sorted({x[f"k{whole}"] for _, n, x in group if n}) if left else []
+            for key in order:
+                run += sum(n for _, n, x in group if n and x[f"k{whole}"] == key)
+                if run > left:
+                    break
+                taken.add(key)
+            want += [(i, whole + (n > 0 and left > 0 and x[f"k{whole}"] in taken)) for i, n, x in group if whole + (n > 0 and left > 0 and x[f"k{whole}"] in taken)]
+        got = [(x["doc_id"], x["copies"]) for x in mixing.mix(df, ratio, epochs).collect()]
+        assert sorted(got) == sorted(want), (ratio, epochs)
 
 
 def test_mix_takes_prefixes(spark):
