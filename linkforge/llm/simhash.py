@@ -32,7 +32,7 @@ GENERATOR = 0b101011100011
 #: First bit and width of each segment.
 SEGMENTS = ((0, 22), (22, 21), (43, 21))
 PAIRS = ((0, 1), (0, 2), (1, 2))
-#: Distinct fingerprints from which keys are long.
+#: Distinct fingerprints from which keys are long by default: a choice of plan, as the links found are the same.
 LONG_FROM = 4_000_000
 
 
@@ -194,33 +194,33 @@ def linked(nodes: DataFrame, scratch: Scratch, long: bool | None = None) -> Data
     return scratch.keep(flat.join(second.select(F.col("v").alias("comp"), "c"), "comp", "left").select("fp", F.coalesce("c", "comp").alias("comp")), "linked")
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", long: bool | None = None) -> DataFrame:
     """One row for each row of df: id_col, fingerprint (16 hex digits), component_id (smallest id reachable).
 
     Whole texts; null and word-less texts have fingerprint zero, linked like any other. Null ids are never the
     smallest (a component of null ids alone has a null component_id). Repeated rows stay. Other columns of df are
-    not read, so their names can't clash. An empty table gives an empty result.
+    not read, so their names can't clash. An empty table gives an empty result. long: as for linked().
     """
     scratch = Scratch(df.sparkSession, "simhash")
     rows = scratch.keep(fingerprints(df, id_col, text_col), "rows")
     nodes = scratch.keep(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "nodes")
-    comps = linked(nodes.select("fp", "n"), scratch)
+    comps = linked(nodes.select("fp", "n"), scratch, long)
     low = nodes.select("fp", "low").join(comps, "fp")
     final = low.join(low.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("fp", "component_id")
     return rows.join(final, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", long: bool | None = None) -> DataFrame:
     """The rows of df, with its columns, that stay: of each component one row, that with the smallest id.
 
     Rows that repeat the kept id with the same fingerprint are cut to the one with the smallest text; a null id is
     kept only where a component has no other. Texts move in one shuffle, on the id (repeated and null ids: on the
-    id and the fingerprint).
+    id and the fingerprint). An empty table gives an empty one; other columns may have any names. long: as for linked().
     """
     scratch = Scratch(df.sparkSession, "simhash")
     rows = scratch.keep(fingerprints(df, id_col, text_col), "rows")
     nodes = scratch.keep(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "nodes")
-    comps = linked(nodes.select("fp", "n"), scratch)
+    comps = linked(nodes.select("fp", "n"), scratch, long)
     best = nodes.select("fp", "low").join(comps, "fp").groupBy("comp").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp")).alias("k"))
     best = best.select(F.col("k.low").alias("id"), F.col("k.fp").alias("fp"))
     repeated = scratch.keep(rows.groupBy("id").count().where("count > 1 or id is null").select("id"), "repeated")

@@ -143,7 +143,8 @@ def test_rows_against_plain(spark, tmp_path):
     }
     for name, stage in pipeline.STAGES[:-1]:
         kept = steps[name](rows)
-        docs = stage(spark, docs, str(tmp_path)).localCheckpoint()
+        stage(spark, docs, str(tmp_path)).write.parquet(out := str(tmp_path / f"stage-{name}"))
+        docs = spark.read.parquet(out)
         assert sorted(r["doc_id"] for r in docs.collect()) == sorted(kept), name
         assert len(kept) < len(rows) and kept, name
         rows = {i: rows[i] for i in kept}
@@ -152,3 +153,26 @@ def test_rows_against_plain(spark, tmp_path):
         assert sorted((r["doc_id"], r["size"], r["text_crc32"], r["shard"], r["grown_shard"]) for r in got) == want
         for s in range(16):
             assert sorted(r["slot"] for r in got if r["shard"] == s) == list(range(sum(x[3] == s for x in want)))
+
+
+def test_odd_rows_and_empty_tables(spark, tmp_path):
+    """Nulls in every column, repeated rows, empty and very long texts, columns with clashing names: every stage ends, a row
+    of the result is a row that came in, and what must stay stays."""
+    good = "\n".join(f"The w{i} a{i} b{i} c{i} d{i} e{i}." for i in range(12))
+    long = "\n".join(f"Sentence k{i} with l{i} and m{i} ends." for i in range(20000))
+    rows = [(1, good, "en", "src1", 5, "a", "b"), (1, good, "en", "src1", 5, "a", "b"), (None, good.replace("w", "v"), None, None, None, None, None), (2, None, "en", "src1", 0, "x", "x"), (3, "", None, "src2", 0, None, None), (4, " \n\t", "de", None, 3, None, "y"), (5, long, "fr", "src3", len(long), "c", "d"), (6, good.replace("a", "q"), None, "x", None, "e", None)]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, quality string, shard string"
+    spark.createDataFrame([(1, None), (None, "x" * 50), (2, "")], "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    for name, given in (("odd", spark.createDataFrame(rows, schema)), ("empty", spark.createDataFrame([], schema))):
+        before = given
+        for stage_name, stage in pipeline.STAGES:
+            stage(spark, before, str(tmp_path)).write.parquet(out := f"{tmp_path}/{name}-{stage_name}")
+            after = spark.read.parquet(out)
+            if stage_name != "sharding":
+                assert after.columns == given.columns and after.exceptAll(before).isEmpty()
+                if name == "odd" and stage_name == "quality_rules":
+                    assert sorted(str(r["doc_id"]) for r in after.collect()) == ["1", "1", "5", "6", "None"]
+                if name == "odd" and stage_name == "simhash_dedup":
+                    assert sorted(str(r["doc_id"]) for r in after.collect()) == ["1", "5", "6", "None"]
+            before = after
+        assert (before.count() > 0) == (name == "odd") and set(before.columns) >= {"doc_id", "size", "text_crc32", "law", "shard", "slot", "grown_shard"}
