@@ -29,4 +29,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_warc": warc.ORACLE_SQL, "op5_quality_rules": quality.oracle(), "op6_chat_preference": chatpref.ORACLE_SQL}
+    return {"op1_sharding": sharding.oracle(16), "op2_warc": warc.ORACLE_SQL, "op5_quality_rules": quality.oracle(), "op6_chat_preference": chatpref.ORACLE_SQL}

@@ -44,6 +44,16 @@ def test_sharding_is_jump_hash(spark):
     assert sharding.shard_documents(docs(spark, []), 4).count() == 0
 
 
+def test_slots_follow_the_order_over_ranges(spark):
+    r = random.Random(4)
+    rows = [(r.choice("ab"), r.choice([None, *range(40)])) for _ in range(300)]
+    got = sharding.slotted(spark.createDataFrame(rows, "shard string, k long"), bucket_rows=5).collect()
+    for s in "ab":
+        mine = sorted(x["slot"] for x in got if x["shard"] == s)
+        assert mine == list(range(sum(x == s for x, _ in rows)))
+        assert [x["k"] for x in sorted((x for x in got if x["shard"] == s), key=lambda x: x["slot"])] == sorted((k for x, k in rows if x == s), key=lambda k: -1 if k is None else k)
+
+
 def test_slots_over_many_buckets(spark):
     df = spark.range(500).select((F.col("id") % 3).alias("shard"), (F.col("id") % 50).alias("k"))
     rows = sharding.slotted(df, bucket_rows=7).collect()
@@ -610,7 +620,7 @@ def test_html_layout_names_lose_no_article(name):
     assert html_extract.main_text(f"<body><p>Menu</p><div id='{name}'>{inner}</div></body>").endswith(want)
 
 
-@pytest.mark.parametrize("name", ["op2_warc", "op5_quality_rules", "op6_chat_preference"])
+@pytest.mark.parametrize("name", ["op1_sharding", "op2_warc", "op5_quality_rules", "op6_chat_preference"])
 def test_query_equals_sql(spark, name):
     import duckdb
 
