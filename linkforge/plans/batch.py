@@ -20,6 +20,8 @@ from linkforge.sources.store import Store
 #: States of a batch in their order.
 STATES = ("IDLE", "DETECTING", "INGESTING", "MATCHING", "WRITING", "COMPLETE")
 WAITING = "Waiting for a batch"
+#: Commits after the newest snapshot from which on a batch gathers them in a new one.
+COMPACT_FROM = 500
 
 
 @dataclass
@@ -104,6 +106,8 @@ def run_batch(store: Store, status: Status | None = None, batch_id: str | None =
         linked = out.comps.groupBy("comp").count().where("count > 1").agg(F.sum("count")).first()[0] or 0
         status.stats = {"totalRecords": records.count(), "pairsChecked": cross_pairs(records), "autoLinked": linked, "pendingReview": store.queue().where("status = 'PENDING'").count(), "registrySize": store.table("registry").count()}
         landing.archive(files, folder, found, f"{store.root}/archive/{status.batch_id}")
+        if len(store.log()) >= COMPACT_FROM:
+            store.compact()
         status.to("COMPLETE", f"Batch {status.batch_id} complete")
         status.to("IDLE", WAITING)
     except Exception:
