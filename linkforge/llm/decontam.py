@@ -24,9 +24,17 @@ BLOCK_CHARS = 4_000_000
 FACTOR = np.uint64(0x9E3779B97F4A7C15)
 
 
+#: ASCII letters in lower case, digits, and a blank for every other byte.
+PLAIN = bytes(c if chr(c).isalnum() and c < 128 else 32 for c in range(256)).lower()
+
+
 def normal(text: str | None) -> str:
     """Lower case; each run of other characters than letters and digits becomes one space. Null counts as empty."""
-    return re.sub(r"[\W_]+", " ", (text or "").lower()).strip()
+    if not text:
+        return ""
+    if text.isascii():
+        return b" ".join(text.encode().translate(PLAIN).split()).decode()
+    return re.sub(r"[\W_]+", " ", text.lower()).strip()
 
 
 def codes(text: str) -> np.ndarray:
@@ -74,14 +82,23 @@ class Index:
         self.hash, self.item, self.place = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (h, item, place))
         order = np.argsort(self.hash, kind="stable")
         self.hash, self.item, self.place = self.hash[order], self.item[order], self.place[order]
+        self.known, self.start, self.count = np.unique(self.hash, return_index=True, return_counts=True)
+        sizes = [len(c) for _, c in self.items]
+        self.edits = np.array([budget(m) for m in sizes], np.int64)
+        #: Different q-grams that the lemma asks for.
+        self.least = np.array(sizes, np.int64) - Q + 1 - self.edits * Q
         self.table = np.zeros(1 << self.BITS, bool)
         self.table[(self.hash >> np.uint64(64 - self.BITS)).astype(np.int64)] = True
 
     def hits(self, g: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(place in the text, passage, place in the passage) of every shared q-gram."""
         at = np.flatnonzero(self.table[(g >> np.uint64(64 - self.BITS)).view(np.int64)])
-        lo, hi = np.searchsorted(self.hash, g[at], "left"), np.searchsorted(self.hash, g[at], "right")
-        n = hi - lo
+        if not len(at):
+            return at, at, at
+        near = np.minimum(np.searchsorted(self.known, g[at]), len(self.known) - 1)
+        same = self.known[near] == g[at]
+        at, near = at[same], near[same]
+        lo, n = self.start[near], self.count[near]
         rows = np.repeat(lo, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
         return np.repeat(at, n) + first, self.item[rows], self.place[rows]
 
@@ -114,18 +131,18 @@ def exact(c: np.ndarray, index: Index) -> dict[int, tuple[int, int]]:
 def regions(at: np.ndarray, item: np.ndarray, place: np.ndarray, index: Index) -> list[tuple[int, int]]:
     """(passage, lowest diagonal) of the bands with enough different places of the passage."""
     out = []
+    due = np.bincount(item, minlength=len(index.items)) >= index.least
+    due &= index.least > 0
+    if not due.any():
+        return out
+    kept = due[item]
+    at, item, place = at[kept], item[kept], place[kept]
     order = np.argsort(item, kind="stable")
     at, item, place = at[order], item[order], place[order]
-    cuts = np.flatnonzero(np.diff(item)) + 1
-    for lo, hi in zip(np.r_[0, cuts], np.r_[cuts, len(item)], strict=True):
-        if lo == hi:
-            continue
+    cuts = (np.flatnonzero(np.diff(item)) + 1).tolist()
+    for lo, hi in zip([0, *cuts], [*cuts, len(item)], strict=True):
         i = int(item[lo])
-        m = len(index.items[i][1])
-        e = budget(m)
-        least = m - Q + 1 - e * Q
-        if hi - lo < least:
-            continue
+        e, least = int(index.edits[i]), int(index.least[i])
         step = e + 1
         band = (at[lo:hi] - place[lo:hi]) // step
         # A diagonal lies in the band that begins at its step, and in the one that begins a step before.
@@ -139,31 +156,29 @@ def aligned(passage: np.ndarray, text: np.ndarray, first: int, last: int, most:
     """The fewest edits that turn passage into any run of text, if most or fewer, over the diagonals from first to last
     alone; the runs' ends cost nothing.
 
-    A row holds the costs of one place of the passage on every diagonal: a character kept or replaced stays on its
-    diagonal, one left out of the passage comes from the next, one put in from the one before.
+    A row holds the costs of one place of the passage on every diagonal, less the diagonal's number: a character kept or
+    replaced stays on its diagonal, one left out of the passage comes from the next, and one put in from the one
+    before, which is a running minimum then. Before the text nothing begins; after it stands a character of no passage,
+    which costs what leaving out a character of the passage costs.
     """
-    width, far = last - first + 1, np.int32(1 << 20)
-    at = np.arange(first, last + 1)
-    row = np.where((at >= 0) & (at <= len(text)), 0, far).astype(np.int32)
-    steps = np.arange(width, dtype=np.int32)
-    m = len(passage)
-    # What the band sees of the text, with a sign of its own where it ends.
+    width, m = last - first + 1, len(passage)
     seen = np.full(m + width, -1, np.int64)
     lo, hi = max(first, 0), min(first + m + width, len(text))
     if hi > lo:
         seen[lo - first : hi - first] = text[lo:hi]
-    for i, c in enumerate(passage.tolist(), 1):
-        part = seen[i - 1 : i - 1 + width]
-        new = row + (part != c)
-        new[part < 0] = far
-        new[:-1] = np.minimum(new[:-1], row[1:] + 1)
-        new = np.minimum.accumulate(new - steps) + steps
-        outside = (first + i + steps < 0) | (first + i + steps > len(text))
-        new[outside] = far
-        row = new.astype(np.int32)
-        if row.min() > most:
+    unequal = (np.lib.stride_tricks.sliding_window_view(seen, width)[:m] != passage.astype(np.int64)[:, None]).astype(np.int32)
+    steps = np.arange(width, dtype=np.int32)
+    row = np.where(first + steps >= 0, -steps, np.int32(1 << 20)).astype(np.int32)
+    left_out = np.empty(width - 1, np.int32)
+    for i in range(m):
+        np.add(row[1:], 2, out=left_out)
+        np.add(row, unequal[i], out=row)
+        np.minimum(row[:-1], left_out, out=row[:-1])
+        np.minimum.accumulate(row, out=row)
+        if i % 16 == 15 and (row + steps).min() > most:
             return None
-    return int(row.min())
+    cost = int((row + steps).min())
+    return cost if cost <= most else None
 
 
 def find(text: str | None, index: Index, chunk: int = 1 << 20) -> list[tuple[int, int, int, int]]:
