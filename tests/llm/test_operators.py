@@ -654,3 +654,41 @@ def test_quality_cleans_lines(spark):
     rows = {r["doc_id"]: r for r in quality.quality_report(df).collect()}
     assert rows[0]["clean_md5"] == hashlib.md5(body.encode()).hexdigest() and rows[0]["n_failed_lines"] == 5 and rows[0]["kept_chars"] == len(body.replace("\n", ""))
     assert quality.quality_report(df.limit(0)).count() == 0 and quality.keep_good(df.limit(0)).count() == 0
+
+
+def test_near_duplicates_against_plain(spark):
+    """Fingerprints bit by bit and components of all pairs, of texts with copies at every distance."""
+    import xxhash
+
+    r = random.Random(21)
+    words = [f"Word{i}é" if i % 7 else f"w{i}" for i in range(400)]
+    texts = [None, "", " \t\n", "one", "One", "one two three", "a b c d", "A  B\tc\x0bd", "x y z w x y z w x y z w"]
+    for _ in range(25):
+        base = [r.choice(words) for _ in range(r.choice((5, 30, 150, 600)))]
+        for _ in range(r.randint(1, 5)):
+            x = list(base)
+            for _ in range(r.choice((0, 0, 1, 3))):
+                x[r.randrange(len(x))] = r.choice(words)
+            texts.append(r.choice((" ", "\n", "  ")).join(x))
+    low = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
+
+    def plain(text):
+        w = [x for x in re.split("[\x20\x09-\x0d]+", (text or "").translate(low)) if x]
+        parts = [" ".join(w[i : i + 4]) for i in range(max(1, len(w) - 3))] if w else []
+        h = [xxhash.xxh64_intdigest(p.encode(), 42) for p in parts]
+        return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
+
+    fps = [plain(t) for t in texts]
+    smallest = list(range(len(texts)))
+    changed = True
+    while changed:
+        changed = False
+        for i in range(len(texts)):
+            for j in range(len(texts)):
+                if near(fps[i], fps[j]) and smallest[j] > smallest[i]:
+                    smallest[j], changed = smallest[i], True
+    for long in (False, True):
+        rows = {x["doc_id"]: x for x in simhash.near_duplicates(docs(spark, texts), long=long).collect()}
+        assert [rows[i]["fingerprint"] for i in range(len(texts))] == [f"{x:016x}" for x in fps]
+        assert [rows[i]["component_id"] for i in range(len(texts))] == smallest
+    assert len(set(smallest)) < len(set(fps))
