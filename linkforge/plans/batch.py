@@ -63,7 +63,7 @@ def link(records: DataFrame, model: Model, scratch: Scratch, reviews: bool = Tru
     recs = scratch.keep(prepared(records), "records")
     pairs = blocked(recs, model) if reviews or not only_identifiers_link(model) else identifier_pairs(recs)
     found = scores(recs, pairs, model).where("zone <> 'SEPARATE'" if reviews else "zone = 'AUTO_LINK'")
-    pairs = scratch.keep(with_records(recs, scratch.keep(found, "scores")), "pairs")
+    pairs = scratch.keep(with_records(recs, found), "pairs")
     return Linked(recs, pairs, scratch.keep(clustered(recs, pairs, model, scratch), "components"))
 
 

@@ -430,7 +430,7 @@ def oracle_sql() -> dict[str, str]:
         "scored_pairs_cheap": f"WITH {PAIRS} SELECT o1, o2, round({ident} + {cheap}, 9) AS score FROM p",
         "scored_pairs_all": f"WITH {EVERY} SELECT o1, o2, round({ident} + {cheap}, 9) AS score FROM p",
         "jaro_winkler_names": f"{names} SELECT s AS n1, t AS n2, round(similarity, 9) AS similarity FROM jw",
-        "zone_summary": f"WITH {SCORED}, q AS (SELECT zone, count(*) AS pairs, round(min(score), 9) AS lowest, round(max(score), 9) AS highest FROM z WHERE zone <> 'SEPARATE' GROUP BY zone) SELECT * FROM q UNION ALL SELECT 'SEPARATE', (SELECT count(*) FROM p) - coalesce((SELECT sum(pairs) FROM q), 0), NULL, NULL",
+        "zone_summary": f"WITH {SCORED}, q AS (SELECT zone, count(*) AS pairs, round(min(score), 9) AS lowest, round(max(score), 9) AS highest FROM z WHERE zone <> 'SEPARATE' GROUP BY zone) SELECT * FROM q UNION ALL SELECT 'SEPARATE', CAST((SELECT count(*) FROM p) - coalesce((SELECT sum(pairs) FROM q), 0) AS BIGINT), NULL, NULL",
         "review_pairs": f"WITH {SCORED} SELECT o1, o2, round(score, 9) AS score, evidence FROM z WHERE zone = 'REVIEW'",
         "batch_counts": f"{CLUSTERS}, n AS (SELECT cluster, count(*) AS n FROM c GROUP BY cluster), {SCORED.replace(f'f AS ({FEED}), ', '', 1)} SELECT (SELECT count(*) FROM f) AS totalRecords, (SELECT count(*) FROM p) AS pairsChecked, CAST(coalesce(sum(n) FILTER (n > 1), 0) AS BIGINT) AS autoLinked, (SELECT count(*) FROM z WHERE zone = 'REVIEW') AS pendingReview, count(*) FILTER (n = 1) AS singletons, count(*) AS registrySize FROM n",
         "auto_link_clusters": CLUSTERS + "SELECT ord, cluster FROM c",

@@ -8,7 +8,7 @@ from linkforge.scratch import Scratch, close_all, shared_dir
 DIR = "/root/testdata/sf0.001"
 TABLES = ("documents", "orders", "customer", "events", "labels", "nation")
 #: Queries that link the feed anew are held against their SQL by one of each kind; the driver runs all of them.
-SLOW = {"review_pairs", "batch_counts", "registry_json", "singletons", "best_evidence", "queue_json", "comparison_view", "score_bands", "feature_bands"}
+SLOW = {"auto_link_clusters", "reviewed_registry", "review_pairs", "batch_counts", "registry_json", "singletons", "best_evidence", "queue_json", "comparison_view", "score_bands", "feature_bands"}
 
 
 @pytest.mark.parametrize("name", [n for n in linkage.queries() if n not in SLOW])
