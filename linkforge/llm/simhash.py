@@ -24,7 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from linkforge.operators.components import components
-from linkforge.scratch import Scratch
+from linkforge.scratch import Scratch, shuffled
 
 SEED, SHINGLE, MAX_BITS = 42, 4, 4
 #: Fixed value: generator polynomial of the binary Golay code, x^11 + x^9 + x^7 + x^6 + x^5 + x + 1.
@@ -172,9 +172,9 @@ def linked(nodes: DataFrame, scratch: Scratch, long: bool | None = None) -> Data
         long = nodes.count() >= LONG_FROM
     filed = scratch.keep(keyed(nodes, False, long), "filed")
     hubs = filed.groupBy("key").agg(F.max(F.struct("n", "fp")).alias("hub"), F.count("*").alias("size")).where("size > 1").select("key", F.col("hub.fp").alias("hub"))
-    stars = filed.join(hubs, "key").where((F.col("fp") != F.col("hub")) & near(F.col("fp"), F.col("hub"))).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
+    stars = filed.join(shuffled(hubs), "key").where((F.col("fp") != F.col("hub")) & near(F.col("fp"), F.col("hub"))).select(F.col("fp").alias("a"), F.col("hub").alias("b"))
     first = components(stars, scratch)
-    label = lambda df: df.join(first.select(F.col("v").alias("fp"), "c"), "fp", "left").select(*df.columns, F.coalesce("c", "fp").alias("comp"))
+    label = lambda df: df.join(shuffled(first.select(F.col("v").alias("fp"), "c")), "fp", "left").select(*df.columns, F.coalesce("c", "fp").alias("comp"))
     flat = scratch.keep(label(nodes.select("fp")), "flat")
     comped = scratch.keep(label(filed.select("key", "fp")), "filed")
     scratch.drop(filed)
@@ -183,15 +183,15 @@ def linked(nodes: DataFrame, scratch: Scratch, long: bool | None = None) -> Data
     by_comp = comped.groupBy("key", "comp").agg(F.count("*").alias("m"), F.max("fp").alias("one"))
     main = by_comp.groupBy("key").agg(F.max(F.struct("m", "comp")).alias("top"), F.count("*").alias("comps"), F.sum("m").alias("members"), F.max("one").alias("one"))
     main = main.select("key", F.col("top.comp").alias("main"), "comps", "members", "one")
-    looks = keyed(flat, True, long).join(main, "key").where((F.expr("comp <> main or comps > 1")) & ((F.col("members") > 1) | near(F.col("fp"), F.col("one"))))
+    looks = keyed(flat, True, long).join(shuffled(main), "key").where((F.expr("comp <> main or comps > 1")) & ((F.col("members") > 1) | near(F.col("fp"), F.col("one"))))
     sides = F.when(F.col("comp") == F.col("main"), F.array(F.lit(False))).otherwise(F.array(F.lit(False), F.lit(True)))
     looks = scratch.keep(looks.select("key", F.col("fp").alias("x"), F.col("comp").alias("cx"), F.explode(sides).alias("in_main")), "looks")
-    held = comped.join(main, "key").select("key", F.col("fp").alias("y"), F.col("comp").alias("cy"), (F.col("comp") == F.col("main")).alias("in_main"))
-    rest = looks.join(held, ["key", "in_main"]).where((F.col("cx") != F.col("cy")) & near(F.col("x"), F.col("y"))).select(F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b"))
+    held = comped.join(shuffled(main), "key").select("key", F.col("fp").alias("y"), F.col("comp").alias("cy"), (F.col("comp") == F.col("main")).alias("in_main"))
+    rest = looks.join(shuffled(held), ["key", "in_main"]).where((F.col("cx") != F.col("cy")) & near(F.col("x"), F.col("y"))).select(F.least("cx", "cy").alias("a"), F.greatest("cx", "cy").alias("b"))
     second = components(rest, scratch)
     scratch.drop(looks)
     scratch.drop(comped)
-    return scratch.keep(flat.join(second.select(F.col("v").alias("comp"), "c"), "comp", "left").select("fp", F.coalesce("c", "comp").alias("comp")), "linked")
+    return scratch.keep(flat.join(shuffled(second.select(F.col("v").alias("comp"), "c")), "comp", "left").select("fp", F.coalesce("c", "comp").alias("comp")), "linked")
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", long: bool | None = None) -> DataFrame:
@@ -205,9 +205,9 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     rows = scratch.keep(fingerprints(df, id_col, text_col), "rows")
     nodes = scratch.keep(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "nodes")
     comps = linked(nodes.select("fp", "n"), scratch, long)
-    low = nodes.select("fp", "low").join(comps, "fp")
-    final = low.join(low.groupBy("comp").agg(F.min("low").alias("component_id")), "comp").select("fp", "component_id")
-    return rows.join(final, "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    low = nodes.select("fp", "low").join(shuffled(comps), "fp")
+    final = low.join(shuffled(low.groupBy("comp").agg(F.min("low").alias("component_id"))), "comp").select("fp", "component_id")
+    return rows.join(shuffled(final), "fp").select(F.col("id").alias(id_col), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
 def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", long: bool | None = None) -> DataFrame:
@@ -221,18 +221,18 @@ def deduplicate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", l
     rows = scratch.keep(fingerprints(df, id_col, text_col), "rows")
     nodes = scratch.keep(rows.groupBy("fp").agg(F.min("id").alias("low"), F.count("*").alias("n")), "nodes")
     comps = linked(nodes.select("fp", "n"), scratch, long)
-    best = nodes.select("fp", "low").join(comps, "fp").groupBy("comp").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp")).alias("k"))
+    best = nodes.select("fp", "low").join(shuffled(comps), "fp").groupBy("comp").agg(F.min(F.struct(F.col("low").isNull().alias("none"), "low", "fp")).alias("k"))
     best = best.select(F.col("k.low").alias("id"), F.col("k.fp").alias("fp"))
     repeated = scratch.keep(rows.groupBy("id").count().where("count > 1 or id is null").select("id"), "repeated")
     named = df.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"), F.struct(*(F.col(f"`{c}`") for c in df.columns)).alias("row"))
     back = [F.col(f"row.`{c}`").alias(c) for c in df.columns]
-    once = best.where("id is not null").join(repeated, "id", "left_anti")
-    out = named.join(once.select("id"), "id", "left_semi").select(*back)
+    once = best.where("id is not null").join(shuffled(repeated), "id", "left_anti")
+    out = named.join(shuffled(once.select("id")), "id", "left_semi").select(*back)
     if repeated.isEmpty():
         return out
-    odd = best.join(repeated.where("id is not null"), "id", "left_semi").unionByName(best.where("id is null"))
-    some = named.join(repeated.where("id is not null"), "id", "left_semi").unionByName(named.where("id is null")).withColumn("fp", fingerprint_column()(F.col("text").cast("binary")))
-    some = some.join(odd.select(F.col("id").alias("best"), "fp"), (some["id"].eqNullSafe(F.col("best"))) & (some["fp"] == odd["fp"])).select(some["fp"], "id", "text", "row")
+    odd = best.join(shuffled(repeated.where("id is not null")), "id", "left_semi").unionByName(best.where("id is null"))
+    some = named.join(shuffled(repeated.where("id is not null")), "id", "left_semi").unionByName(named.where("id is null")).withColumn("fp", fingerprint_column()(F.col("text").cast("binary")))
+    some = some.join(shuffled(odd.select(F.col("id").alias("best"), "fp")), (some["id"].eqNullSafe(F.col("best"))) & (some["fp"] == odd["fp"])).select(some["fp"], "id", "text", "row")
     some = some.groupBy("fp", "id").agg(F.min_by("row", F.struct(F.coalesce("text", F.lit("")), F.xxhash64("row"))).alias("row"))
     return out.unionByName(some.select(*back))
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from linkforge.scratch import Scratch
+from linkforge.scratch import Scratch, shuffled
 
 
 def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
@@ -21,7 +21,7 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         to = scratch.keep(both.groupBy(F.col("a").alias("v")).agg(F.min("b").alias("m")).select("v", F.least("v", "m").alias("c")), "level")
         levels.append(to)
         ta, tb = (to.select(F.col("v").alias(x), F.col("c").alias(f"c{x}")) for x in "ab")
-        nxt = live.join(ta, "a").join(tb, "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).where("a <> b").distinct()
+        nxt = live.join(shuffled(ta), "a").join(shuffled(tb), "b").select(F.least("ca", "cb").alias("a"), F.greatest("ca", "cb").alias("b")).where("a <> b").distinct()
         nxt = scratch.keep(nxt, "edges")
         scratch.drop(live)
         live = nxt
@@ -30,5 +30,5 @@ def components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     out = levels[-1]
     for level in reversed(levels[:-1]):  # a vertex's label in a level is a vertex of the next one, or final
         up = out.select(F.col("v").alias("c"), F.col("c").alias("up"))
-        out = scratch.keep(level.join(up, "c", "left").select("v", F.coalesce("up", "c").alias("c")), "labels")
+        out = scratch.keep(level.join(shuffled(up), "c", "left").select("v", F.coalesce("up", "c").alias("c")), "labels")
     return out

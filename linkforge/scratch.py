@@ -38,6 +38,12 @@ def close_all(spark: SparkSession) -> None:
         OPEN.discard(root)
 
 
+def shuffled(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is never broadcast. A scratch table's size is taken from its compressed files, so a long
+    table can pass for a small one, and what is broadcast is gathered and held in the driver's memory."""
+    return df.hint("merge")
+
+
 class Scratch:
     """Tables in a folder of their own below the shared one; they cut lineage and outlive lost executors.
 

@@ -692,3 +692,18 @@ def test_near_duplicates_against_plain(spark):
         assert [rows[i]["fingerprint"] for i in range(len(texts))] == [f"{x:016x}" for x in fps]
         assert [rows[i]["component_id"] for i in range(len(texts))] == smallest
     assert len(set(smallest)) < len(set(fps))
+
+
+def test_simhash_broadcasts_nothing(spark, monkeypatch):
+    """A broadcast is gathered by the driver; sizes are told by compressed files, so a long table can pass for a small one."""
+    plans, keep = [], Scratch.keep
+
+    def kept(self, df, part):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return keep(self, df, part)
+
+    monkeypatch.setattr(Scratch, "keep", kept)
+    df = docs(spark, [f"{i % 7} b c d e {'f g h ' * (i % 5)}" for i in range(60)], [i // 2 for i in range(60)])
+    for out in (simhash.near_duplicates(df), simhash.deduplicate(df)):
+        plans.append(out._jdf.queryExecution().executedPlan().toString())
+    assert any("SortMergeJoin" in x for x in plans) and not any("Broadcast" in x for x in plans)
