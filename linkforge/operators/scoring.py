@@ -43,9 +43,8 @@ def zone(model: Model) -> Column:
 
 
 def with_names(pairs: DataFrame) -> DataFrame:
-    """pairs with name, the similarity of n1 and n2: computed once for each two different names."""
-    unequal = pairs.where("n1 <> n2").select("n1", "n2").distinct().withColumn("name", jaro_winkler(F.col("n1"), F.col("n2")))
-    return pairs.join(unequal, ["n1", "n2"], "left").withColumn("name", F.coalesce("name", F.lit(1.0)))
+    """pairs with name, the similarity of n1 and n2: computed in place, since a join on names would write all pairs anew."""
+    return pairs.withColumn("name", jaro_winkler(F.col("n1"), F.col("n2")))
 
 
 def scores(recs: DataFrame, pairs: DataFrame, model: Model, prune: bool = True) -> DataFrame:
@@ -53,7 +52,7 @@ def scores(recs: DataFrame, pairs: DataFrame, model: Model, prune: bool = True)
 
     prune drops, before names are compared, pairs that can't reach the review threshold even with equal names.
     """
-    out = cheap_features(joined(recs.drop("rec"), pairs))
+    out = cheap_features(joined(recs.drop("rec").withColumn("a", F.substring("a", 1, 1)), pairs))  # of a only whether it is empty
     if prune:
         out = out.where((F.col("identifier") == 1) | (weighted(model, ("name",)) + model.weight_of("name") >= model.review - SLACK))
     out = with_names(out).withColumn("weighted", weighted(model))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 from datetime import UTC, datetime
+from functools import cached_property
 from time import time
 
 from pyspark.sql import DataFrame
@@ -42,11 +43,20 @@ class Status:
 
 @dataclass
 class Linked:
-    """Results of linking, as tables."""
+    """Results of linking, as tables; pairs are without their records."""
 
     recs: DataFrame
     pairs: DataFrame
-    comps: DataFrame
+    model: Model
+    scratch: Scratch
+
+    @cached_property
+    def comps(self) -> DataFrame:
+        return self.scratch.keep(clustered(self.recs, self.pairs, self.model, self.scratch), "components")
+
+    def reviews(self) -> DataFrame:
+        """The pairs in REVIEW, with their records."""
+        return with_records(self.recs, self.pairs.where("zone = 'REVIEW'"))
 
 
 def only_identifiers_link(model: Model) -> bool:
@@ -61,10 +71,9 @@ def link(records: DataFrame, model: Model, scratch: Scratch, reviews: bool = Tru
     equal identifier, which need no blocking.
     """
     recs = scratch.keep(prepared(records), "records")
-    pairs = blocked(recs, model) if reviews or not only_identifiers_link(model) else identifier_pairs(recs)
+    pairs = scratch.keep(blocked(recs, model) if reviews or not only_identifiers_link(model) else identifier_pairs(recs), "candidates")
     found = scores(recs, pairs, model).where("zone <> 'SEPARATE'" if reviews else "zone = 'AUTO_LINK'")
-    pairs = scratch.keep(with_records(recs, found), "pairs")
-    return Linked(recs, pairs, scratch.keep(clustered(recs, pairs, model, scratch), "components"))
+    return Linked(recs, scratch.keep(found, "pairs"), model, scratch)
 
 
 def cross_pairs(records: DataFrame) -> int:
@@ -101,7 +110,7 @@ def run_batch(store: Store, status: Status | None = None, batch_id: str | None =
         status.to("WRITING", "Writing registry and review queue")
         if not store.committed(status.batch_id):
             store.put("registry", status.batch_id, registry_rows(out.recs, out.comps, out.pairs, status.batch_id, now))
-            store.put("review_items", status.batch_id, review_items(out.pairs, status.batch_id, now))
+            store.put("review_items", status.batch_id, review_items(out.reviews(), status.batch_id, now))
             store.commit(status.batch_id, feeds=found + marker)
         linked = out.comps.groupBy("comp").count().where("count > 1").agg(F.sum("count")).first()[0] or 0
         status.stats = {"totalRecords": records.count(), "pairsChecked": cross_pairs(records), "autoLinked": linked, "pendingReview": store.queue().where("status = 'PENDING'").count(), "registrySize": store.table("registry").count()}

@@ -201,7 +201,7 @@ def best_evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def items(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return review_items(linked(spark, sf_dir).pairs, "b", "")
+    return review_items(linked(spark, sf_dir).reviews(), "b", "")
 
 
 def reviewed_registry(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -44,6 +44,10 @@ def shuffled(df: DataFrame) -> DataFrame:
     return df.hint("merge")
 
 
+#: Whether an execution's shuffle files go when it ends, instead of when the driver happens to collect its garbage.
+CLEANED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
 class Scratch:
     """Tables in a folder of their own below the shared one; they cut lineage and outlive lost executors.
 
@@ -59,7 +63,13 @@ class Scratch:
         return f"{self.root}/{part}-{self.serial}"
 
     def keep(self, df: DataFrame, part: str) -> DataFrame:
-        df.write.parquet(path := self.path(part))
+        conf, path = self.spark.conf, self.path(part)
+        before = conf.get(CLEANED, None)
+        conf.set(CLEANED, "true")
+        try:
+            df.write.parquet(path)
+        finally:
+            conf.unset(CLEANED) if before is None else conf.set(CLEANED, before)
         out = self.spark.read.schema(df.schema).parquet(path)
         self.kept[id(out)] = out, path  # the frame is held, so that its id stays its own
         return out

@@ -388,3 +388,22 @@ def test_feature_queries_see_every_pair(spark):
             assert got[a, b] == round(len(x & y) / len(x | y), 9)
     names = {(r["n1"], r["n2"]): r["similarity"] for r in queries.jaro_winkler_names(spark, sf).collect()}
     assert names == {(f[a]["n"], f[b]["n"]): round(jaro_winkler_of(f[a]["n"], f[b]["n"]), 9) for a, b in pairs}
+
+
+def test_candidates_are_pruned_where_they_are_made(spark):
+    """Of records with one pin code and a few common words, candidates are little more than the pairs that a zone keeps,
+    each once before the last distinct; their records aren't written with them."""
+    r = random.Random(5)
+    words = [f"w{i}" for i in range(40)]
+    rows = [(f"{'abc'[i % 3]}{i:04d}", "abc"[i % 3], f"R{i}", "".join(r.sample("qwertyuiopasdfghjkl", 9)), "", "", "lane " + " ".join(r.sample(words, 3)), "1", "s", f"{i % 9 * 111111}", "") for i in range(150)]
+    recs = prepared(spark.createDataFrame(rows, "ord string, source string, " + ", ".join(f"{f} string" for f in FIELDS))).persist()
+    kept = scored(recs, theta(recs), Model(), prune=False).where("zone <> 'SEPARATE'").select("ord1", "ord2")
+    found = blocked(recs, Model())
+    assert set(map(tuple, kept.collect())) <= set(map(tuple, found.collect())) and found.count() <= kept.count() + 5
+
+
+def test_scratch_leaves_no_shuffle_files(spark, tmp_path):
+    made = lambda: set(Path(spark.conf.get("spark.local.dir", None) or os.environ.get("SPARK_LOCAL_DIRS") or "/tmp").glob("**/blockmgr-*/*/shuffle_*.data"))
+    scratch, before = Scratch(spark, "t"), made()
+    scratch.keep(spark.range(1000).groupBy((F.col("id") % 7).alias("k")).count(), "t")
+    assert made() <= before
