@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 from test_linkage import random_records
 
 from linkforge.operators import tiles
-from linkforge.operators.candidates import prepared, theta
+from linkforge.operators.candidates import address_pairs, prepared, theta
 from linkforge.operators.model import Model
 from linkforge.operators.scoring import cheap_features, joined, weighted
 from linkforge.plans import queries
@@ -48,3 +48,14 @@ def test_pairs_are_never_shuffled(spark, query):
     """The pairs are made above all exchanges and joins."""
     told = plan(queries.queries()[query](spark, SF))
     assert "MapInArrow" in told and told.rindex("MapInArrow") < min(told.find(x) % len(told) for x in ("Exchange", "Join"))
+
+
+def test_sets_are_compared_where_they_meet(spark):
+    """Copies are compared once; no pair is written before its Jaccard is known, so there is no distinct of pairs."""
+    recs = prepared(random_records(spark, 34, 60))
+    two = recs.unionByName(recs.withColumn("ord", F.concat("ord", F.lit("'"))))
+    rows = two.select("ord", "source", "at").collect()
+    want = sorted((a["ord"], b["ord"]) for a in rows for b in rows if a["source"] < b["source"] and a["at"] and b["at"] and 2 * len(set(a["at"]) & set(b["at"])) >= len(set(a["at"]) | set(b["at"])))
+    found = address_pairs(two, 0.5)
+    assert sorted((x["o1"], x["o2"]) for x in found.collect()) == want and len(want) > 100
+    assert "keys=[o1" not in plan(found)
