@@ -43,7 +43,7 @@ def test_rounding_as_spark(spark):
     assert tiles.rounded(tiles.np.array(values)).tolist() == want
 
 
-@pytest.mark.parametrize("query", ["scored_pairs_cheap", "scored_pairs_all"])
+@pytest.mark.parametrize("query", ["scored_pairs_cheap", "scored_pairs_all", "token_jaccard_pairs"])
 def test_pairs_are_never_shuffled(spark, query):
     """The pairs are made above all exchanges and joins."""
     told = plan(queries.queries()[query](spark, SF))
