@@ -1,7 +1,10 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from test_linkage import random_records
 
+from linkforge.functions.similarity import jaro_winkler_of
 from linkforge.operators import tiles
 from linkforge.operators.candidates import address_pairs, prepared, theta
 from linkforge.operators.model import Model
@@ -37,13 +40,22 @@ def test_a_grid_in_parts(spark, monkeypatch):
     assert found() == whole
 
 
+def test_names_against_plain():
+    r = random.Random(33)
+    names = list(dict.fromkeys("".join(r.choices("abc 1é𝄞", k=r.choice((0, 1, 2, 3, 8, 20, 40, 63, 64, 65, 90)))) for _ in range(150)))
+    known = tiles.Names(names)
+    for s in names:
+        at = r.randrange(20)
+        assert known.similarity(s, at).tolist() == [jaro_winkler_of(s, t) for t in names[at:]]
+
+
 def test_rounding_as_spark(spark):
     values = [0.0, 1.0, 1 / 3, 2 / 3, 0.1234567895, 0.9999999995, 0.0009765625, 1.5e-9, 2.5e-9, 0.15 * 3 / 7, *(k / 1024 for k in range(1024))]
     want = [r["v"] for r in spark.createDataFrame(list(enumerate(values)), "i long, x double").select("i", F.round("x", 9).alias("v")).orderBy("i").collect()]
     assert tiles.rounded(tiles.np.array(values)).tolist() == want
 
 
-@pytest.mark.parametrize("query", ["scored_pairs_cheap", "scored_pairs_all", "token_jaccard_pairs"])
+@pytest.mark.parametrize("query", ["scored_pairs_cheap", "scored_pairs_all", "token_jaccard_pairs", "jaro_winkler_names"])
 def test_pairs_are_never_shuffled(spark, query):
     """The pairs are made above all exchanges and joins."""
     told = plan(queries.queries()[query](spark, SF))
