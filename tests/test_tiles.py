@@ -71,3 +71,21 @@ def test_sets_are_compared_where_they_meet(spark):
     found = address_pairs(two, 0.5)
     assert sorted((x["o1"], x["o2"]) for x in found.collect()) == want and len(want) > 100
     assert "keys=[o1" not in plan(found)
+
+
+@pytest.mark.parametrize("query", ["scored_pairs_cheap", "scored_pairs_all", "token_jaccard_pairs", "jaro_winkler_names"])
+def test_texts_leave_python_once(spark, query):
+    """Python gives blocks of pairs, each text once for many; the pairs are spelled out above it."""
+    told = plan(queries.queries()[query](spark, SF))
+    assert "Generate posexplode" in told and told.index("Generate posexplode") < told.index("MapInArrow")
+
+
+def test_names_in_uneven_blocks(spark):
+    """Both sides in blocks of sizes of their own, with names of every length around the limit of a word of bits."""
+    r = random.Random(35)
+    names = list(dict.fromkeys("".join(r.choices("ab 1", k=r.choice((0, 1, 3, 8, 20, 62, 63, 64, 65)))) for _ in range(60)))
+    rows = [(n, *sorted(r.choices("abcd", k=2))) for n in names]
+    known = spark.createDataFrame(rows, "n string, lo string, hi string")
+    want = sorted((s, t, tiles.rounded(tiles.np.array([jaro_winkler_of(s, t)]))[0]) for s, lo, _ in rows for t, _, hi in rows if lo < hi)
+    found = tiles.similar_names(tiles.every_tile(known, (7, 23))).collect()
+    assert sorted(map(tuple, found)) == want and len(want) > 500
